@@ -104,7 +104,7 @@ def tolerant_output(out: Column, expected: Column, token_sets: bool = False) ->
 
 
 def _canonical(json_text: Column) -> Column:
-    return F.to_json(F.try_parse_json(json_text))
+    return F.to_json(F.try_parse_json(tx.valid_json(json_text)))
 
 
 def same_return(out_json: Column, expected_json: Column) -> Column:

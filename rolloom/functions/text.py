@@ -139,3 +139,18 @@ def quoted(c: Column) -> Column:
 def rstrip_newline(c: Column) -> Column:
     """Without the final line break, if there is one."""
     return F.regexp_replace(c, r"\n\z", "")
+
+
+def valid_json(c: Column) -> Column:
+    """The text if it is one JSON value and nothing else, NULL otherwise.
+
+    Spark's parser stops behind the first value and ignores the rest. Inside
+    an array and inside an object the rest would have to be valid as well,
+    and no rest is valid in both.
+    """
+    item = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    single = F.try_variant_get(item, "$[0]", "variant").isNotNull() & F.try_variant_get(
+        item, "$[1]", "variant"
+    ).isNull()
+    return F.when(single & member.isNotNull(), c)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import ast
+import json
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolloom.functions import text as tx
 
@@ -21,3 +27,335 @@ def resolve_domain(row_label: Column, dataset_label: Column | None = None, defau
         if alias != name:
             out = F.when(raw == alias, F.lit(name)).otherwise(out)
     return F.coalesce(out, F.lit(default))
+
+
+# --- contest problems --------------------------------------------------------
+TIME_MULTIPLIER = 3  # fixed value: allowance for an interpreted language
+TIME_SLACK = 1  # fixed value: seconds for starting the process
+
+
+def math_markers(c: Column) -> Column:
+    """Triple-dollar math markers to single ones; NULL stays NULL."""
+    return F.replace(c, F.lit("$$$"), F.lit("$"))
+
+
+def line_ends(c: Column) -> Column:
+    """All line ends to a newline; NULL to the empty text."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
+
+
+def text_field(c: Column) -> Column:
+    return tx.strip(F.coalesce(c, F.lit("")))
+
+
+def statement_field(c: Column) -> Column:
+    return math_markers(text_field(c))
+
+
+def _section(body: Column, heading: str | None) -> Column:
+    head = [F.lit(""), F.lit(heading)] if heading else []
+    return F.when(body != "", F.array(*head, body)).otherwise(F.array().cast("array<string>"))
+
+
+def problem_statement(
+    title: Column, description: Column, input_format: Column, output_format: Column, examples: Column, note: Column
+) -> Column:
+    """Statement in the order of the contest page; empty parts are left out.
+
+    ``examples`` is an array of structs with ``input`` and ``output``.
+    """
+    pairs = F.transform(
+        examples,
+        lambda e: F.struct(
+            tx.rstrip(line_ends(e["input"])).alias("i"), tx.rstrip(line_ends(e["output"])).alias("o")
+        ),
+    )
+    shown = F.filter(pairs, lambda e: (e["i"] != "") | (e["o"] != ""))
+    nothing = F.array().cast("array<string>")
+    example_lines = F.flatten(
+        F.transform(shown, lambda e: F.array(F.lit(""), F.lit("Input"), e["i"], F.lit("Output"), e["o"]))
+    )
+    example_part = F.when(
+        F.size(example_lines) > 0, F.concat(F.array(F.lit(""), F.lit("Examples")), example_lines)
+    ).otherwise(nothing)
+    name = text_field(title)
+    parts = F.concat(
+        F.when(name != "", F.array(name, F.lit(""))).otherwise(nothing),
+        _section(statement_field(description), None),
+        _section(statement_field(input_format), "Input"),
+        _section(statement_field(output_format), "Output"),
+        F.coalesce(example_part, nothing),
+        _section(statement_field(note), "Note"),
+    )
+    return tx.strip(F.array_join(parts, "\n"))
+
+
+def scorable_contest_problem() -> Column:
+    """Standard-input problems a plain comparison can judge."""
+    blank = F.lit("")
+    return (
+        F.coalesce(F.col("input_mode") == "stdio", F.lit(False))
+        & F.coalesce(F.col("executable"), F.lit(False))
+        & (F.coalesce("interaction_format", blank) == "")
+        & (F.coalesce("generated_checker", blank) == "")
+        & (text_field(F.col("description")) != "")
+    )
+
+
+def keep_contest_problems(problems: DataFrame, tests: DataFrame) -> DataFrame:
+    """Scorable problems that have at least one test (long table by ``id``)."""
+    return problems.filter(scorable_contest_problem()).join(tests.select("id"), "id", "left_semi")
+
+
+def deadline(time_limit: Column) -> Column:
+    """Whole seconds per test: scaled limit plus slack; 0 and NULL count as 1."""
+    limit = F.coalesce(F.nullif(time_limit, F.lit(0.0)), F.lit(1.0))
+    return F.greatest(F.lit(1), F.ceil(limit * TIME_MULTIPLIER) + TIME_SLACK).cast("int")
+
+
+def contest_tests(problems: DataFrame, tests: DataFrame) -> DataFrame:
+    """Test rows of the given problems, normalised, each with its deadline.
+
+    Tests stay in long form, one row each, so a problem with very many tests
+    is spread over tasks.
+    """
+    limits = problems.select("id", deadline(F.col("time_limit")).alias("deadline"))
+    return tests.join(limits, "id").select(
+        "id", "ord", line_ends(F.col("input")).alias("input"), line_ends(F.col("output")).alias("output"), "deadline"
+    )
+
+
+def kept_per_split(problems: DataFrame, keep: Column) -> DataFrame:
+    """Kept and total number of rows of each split."""
+    return problems.groupBy("split").agg(F.count_if(keep).alias("kept"), F.count("*").alias("total"))
+
+
+def row_cap(rows: DataFrame, per: str, order: Column, cap: int) -> DataFrame:
+    """At most ``cap`` rows per group, the first in order (a user's limit)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(per).orderBy(order)
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap).drop("rank")
+
+
+# --- dated code problems -----------------------------------------------------
+CASES = "array<struct<input:string,output:string>>"
+
+# Month windows of the two evaluation sets.
+MONTH_WINDOWS = {"LCB_v5": ("2024-10", "2025-02"), "LCB_v6": ("2024-08", "2025-05")}
+
+
+def in_windows(date: Column, windows: dict[str, tuple[str, str]]) -> Column:
+    """Names of all windows that hold the date's month, both ends included.
+
+    The windows are a setting, so each row is tested against them in place;
+    no join is needed.
+    """
+    month = F.substring(F.coalesce(date, F.lit("")), 1, 7)
+    named = [
+        F.when(month.between(lo, hi), F.lit(name)).cast("string") for name, (lo, hi) in windows.items()
+    ]
+    return F.filter(F.array(*named), lambda n: n.isNotNull())
+
+
+def per_window(problems: DataFrame, date: str, windows: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row per problem and window it falls in."""
+    return problems.withColumn("window", F.explode(in_windows(F.col(date), windows)))
+
+
+def case_list(public: Column, private: Column) -> Column:
+    return F.concat(F.from_json(public, CASES), F.from_json(private, CASES))
+
+
+def input_output(cases: Column, metadata: Column) -> Column:
+    """Test payload as JSON: inputs, outputs and the function's name."""
+    return F.to_json(
+        F.struct(
+            F.transform(cases, lambda c: c["input"]).alias("inputs"),
+            F.transform(cases, lambda c: c["output"]).alias("outputs"),
+            F.get_json_object(metadata, "$.func_name").alias("fn_name"),
+        )
+    )
+
+
+@F.pandas_udf(T.StringType())
+def _inflate(payloads: pd.Series) -> pd.Series:
+    return payloads.map(_inflated, na_action="ignore")
+
+
+def _inflated(payload: bytes) -> str | None:
+    try:
+        return zlib.decompress(payload).decode("utf-8")
+    except (zlib.error, UnicodeDecodeError):
+        return None
+
+
+def decode_cases(raw: Column) -> Column:
+    """Test cases as JSON text, or packed as base64 of deflated JSON.
+
+    Pickled payloads are never loaded: they decode to NULL and belong in
+    quarantine (see ``quarantined``).
+    """
+    plain = tx.valid_json(raw)
+    packed = _inflate(F.when(plain.isNull(), F.try_to_binary(raw, F.lit("base64"))))
+    return F.coalesce(plain, tx.valid_json(packed))
+
+
+def quarantined(raw: Column) -> Column:
+    return raw.isNotNull() & decode_cases(raw).isNull()
+
+
+# --- mixed corpora -----------------------------------------------------------
+# Instruction lines that precede questions of a corpus.
+MATH_LINES = [
+    "Please reason step by step, and put your final answer within \\boxed{}.",
+    "Solve the following math problem. Make sure to put the answer (and only answer) inside \\boxed{}.",
+]
+CHOICE_LINE = (
+    'Please show your choice in the answer field with only the choice letter, e.g., "answer": "C".'
+)
+CODE_MARKER = "# Your code here\n"
+
+
+def _without_lead(c: Column, line: str) -> Column:
+    def cut(q: Column) -> Column:
+        rest = tx.lstrip(F.substring(q, len(line) + 1, 2**31 - 1), r"\n")
+        return F.when(F.startswith(q, F.lit(line)), rest).otherwise(q)
+
+    return tx.let(c, cut)
+
+
+def _without_code_preamble(c: Column) -> Column:
+    marked = F.regexp_replace(
+        tx.after_first(c, CODE_MARKER), rf"\A(?:```?{tx.ws()}*\n+)?\n*", ""
+    )
+    second = tx.lstrip(tx.after_first(c, "\n\n"), r"\n")
+    return F.coalesce(marked, second, c)
+
+
+def strip_instruction(domain: Column, question: Column) -> Column:
+    """The question without the instruction its domain puts in front."""
+    math = question
+    for line in MATH_LINES:
+        math = _without_lead(math, line)
+    body = (
+        F.when(domain == "math", math)
+        .when(domain == "science", _without_lead(question, CHOICE_LINE))
+        .when(domain == "code", _without_code_preamble(question))
+        .otherwise(question)
+    )
+    return tx.strip(body)
+
+
+def mixed_records(rows: DataFrame) -> DataFrame:
+    """Rows of a mixed corpus under the library's names; blank tests are NULL."""
+    return rows.select(
+        "id",
+        strip_instruction(F.col("domain"), F.col("input")).alias("question"),
+        "domain",
+        "source",
+        F.when(tx.strip(F.col("tests")) != "", F.col("tests")).alias("tests_json"),
+    )
+
+
+def reformat_choices(c: Column) -> Column:
+    """``(A) x`` to ``A. x``."""
+    return F.regexp_replace(c, rf"\(([A-J])\){tx.ws()}*", "$1. ")
+
+
+# --- test payloads -----------------------------------------------------------
+@F.pandas_udf(T.StringType())
+def literal_json(texts: pd.Series) -> pd.Series:
+    """Python literal to JSON text; NULL if it is none."""
+    return texts.map(_literal_json, na_action="ignore")
+
+
+def _literal_json(text: str) -> str | None:
+    try:
+        return json.dumps(ast.literal_eval(text))
+    except Exception:  # not a literal, or one JSON cannot hold
+        return None
+
+
+def payload_json(raw: Column) -> Column:
+    """Test payload as JSON text; Python literals are converted."""
+    usable = F.when(raw != "N/A", raw)
+    plain = tx.valid_json(usable)
+    return F.coalesce(plain, literal_json(F.when(plain.isNull(), usable)))
+
+
+def with_payload(rows: DataFrame, raw: str = "tests_json") -> DataFrame:
+    """Adds the payload's format ``fmt`` and its top-level ``fields``.
+
+    Formats: pytest, stdio, fn_call, assert_list, unknown. The payload is
+    parsed once, so later steps share the result.
+    """
+    out = rows.withColumn("payload", payload_json(F.col(raw)))
+    first = F.substring(F.ltrim("payload"), 1, 1)
+    out = out.withColumn(
+        "fields", F.when(first == "{", F.from_json("payload", "map<string,string>"))
+    )
+    kind = F.try_element_at("fields", F.lit("type"))
+    fmt = (
+        F.when(first == "[", "assert_list")
+        .when((kind == "pytest") | F.map_contains_key("fields", F.lit("test_code")), "pytest")
+        .when(kind.isin("stdio", "fn_call"), kind)
+        .otherwise("unknown")
+    )
+    return out.withColumn("fmt", fmt)
+
+
+def function_name(fn_name: Column, fmt: Column, fields: Column, entry_point: Column) -> Column:
+    """Row's own name, the payload's (for formats that call one), entry point."""
+    named = fmt.isin("pytest", "fn_call")
+    return F.when(fn_name != "", fn_name).otherwise(
+        F.when(named, F.try_element_at(fields, F.lit("fn_name"))).otherwise(tx.nullif_empty(entry_point))
+    )
+
+
+def scorable(domain: Column, fmt: Column, fields: Column) -> Column:
+    """Can correctness be judged? Chat and malformed tests cannot."""
+    cases = F.from_json(F.try_element_at(fields, F.lit("cases")), "array<map<string,string>>")
+    listed = F.forall(
+        cases, lambda c: F.coalesce(F.startswith(F.try_element_at(c, F.lit("args")), F.lit("[")), F.lit(False))
+    )
+    usable = F.coalesce((F.size(cases) > 0) & listed, F.lit(False))
+    return (
+        F.when(domain == "chat", False)
+        .when((domain == "code") & (fmt == "unknown"), False)
+        .when((domain == "code") & (fmt == "fn_call"), usable)
+        .otherwise(True)
+    )
+
+
+# Token budgets by domain.
+DOMAIN_CAPS = {"math": 4096, "code": 2048, "chat": 2048, "science": 1024}
+
+
+def token_budget(domain: Column, scheduled: Column, caps: dict[str, int] | None = None) -> Column:
+    """The smaller of the scheduled budget and the domain's cap."""
+    out = scheduled
+    for name, cap in (DOMAIN_CAPS if caps is None else caps).items():
+        out = F.when(domain == name, F.least(scheduled, F.lit(cap))).otherwise(out)
+    return out
+
+
+# Option letters of datasets that limit them.
+DATASET_LETTERS = {
+    "GPQA_Diamond_shuffled": "ABCD",
+    "GPQA_Main_shuffled": "ABCD",
+    "GPQA": "ABCD",
+    "ARC_C": "ABCDE",
+    "MMLU": "ABCD",
+    "MMLU_Redux": "ABCD",
+    "MMLU_Pro": "ABCDEFGHIJ",
+}
+
+
+def option_letters(letters: Column, path: Column, default: str = "ABCDEFGHIJ") -> Column:
+    """Explicit set, the set known for the file's name, or the default."""
+    stem = F.regexp_replace(tx.after_last(path, "/"), r"\.[^.]*\z", "")
+    known = F.lit(None).cast("string")
+    for name, option in DATASET_LETTERS.items():
+        known = F.when(stem == name, F.lit(option)).otherwise(known)
+    return F.coalesce(tx.nullif_empty(letters), known, F.lit(default))

@@ -84,3 +84,24 @@ def pass_at_table(problems: DataFrame, ks: list[int], scale: float = 100.0) -> D
         .filter(F.col("least") >= F.col("e.k"))
         .select("e.k", "e.value")
     )
+
+
+def first_candidate_by_platform(verdicts: DataFrame) -> DataFrame:
+    """Accuracy in percent of the first candidate of each problem."""
+    first = (
+        verdicts.filter(F.col("resp_idx") == 0)
+        .groupBy("sample_id")
+        .agg(F.min("platform").alias("platform"), F.bool_and(F.coalesce("passed", F.lit(False))).alias("solved"))
+    )
+    return first.groupBy(F.coalesce("platform", F.lit("unknown")).alias("platform")).agg(
+        F.count_if("solved").alias("solved"),
+        F.count("*").alias("n"),
+        (100 * F.count_if("solved") / F.count("*")).alias("accuracy"),
+    )
+
+
+def base_plus_summary(candidates: DataFrame) -> DataFrame:
+    """Share of candidates that pass the base and the extended tests."""
+    return candidates.agg(
+        F.avg(F.col("base_pass").cast("int")).alias("base"), F.avg(F.col("plus_pass").cast("int")).alias("plus")
+    )

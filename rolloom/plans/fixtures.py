@@ -150,7 +150,7 @@ f_tok = (
 f_lp = (
     """
 SELECT CAST(label AS BIGINT) AS seq, vec_id AS pos, token_id, CAST(pair.t AS DOUBLE) AS t_logit, CAST(pair.s AS DOUBLE) AS s_logit
-FROM (SELECT e.label, e.vec_id, posexplode(arrays_zip(e.embedding AS t, s.embedding AS s)) AS (token_id, pair)
+FROM (SELECT e.label, e.vec_id, posexplode(transform(e.embedding, (x, i) -> struct(x AS t, s.embedding[i] AS s))) AS (token_id, pair)
       FROM embeddings e JOIN embeddings s ON s.vec_id = e.vec_id + 1) x
 """,
     """

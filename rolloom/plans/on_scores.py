@@ -312,7 +312,7 @@ _SQL_DOMAIN = oa.SQL_DOMAIN
         WHEN override_name = 'number' THEN {_sql_number('pred')} = {_sql_number('gold')}
         WHEN scorer = 'plain' AND domain = 'math' THEN lower(pred) = lower(gold)
         WHEN domain = 'mc' THEN {_sql_letter('pred')} = {_sql_letter('gold')}
-        WHEN domain = 'triviaqa' THEN contains(pred, lower(gold))
+        WHEN domain = 'triviaqa' THEN gold <> 'A' AND contains(pred, lower(gold))
         WHEN domain IN ('code', 'livebench') THEN recorded
         ELSE pred = gold END, false) AS correct FROM a""",
 )
