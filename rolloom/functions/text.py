@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 # Members of the classes, without the brackets, so they can be combined.
 SPACE = r"\t-\r\x1c- \x{85}\p{Z}"
 WORD = r"\p{L}\p{N}_"
+# The same white space as a plain list of characters.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # A neighbour that is no word character: what stands on the far side of \b.
 NOT_WORD = rf"[^{WORD}]"
 
@@ -34,23 +39,28 @@ def let(c: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """``str.strip()``: every kind of white space, at both ends."""
-    return rstrip(lstrip(c))
+    """``str.strip()``: every kind of white space, at both ends.
 
-
-def lstrip(c: Column, members: str = SPACE) -> Column:
-    return F.regexp_replace(c, rf"\A[{members}]+", "")
+    Trimming looks at the ends only; a pattern would scan the whole text.
+    """
+    return F.btrim(c, F.lit(SPACES))
 
 
-def rstrip(c: Column, members: str = SPACE) -> Column:
-    # The leading non-member keeps the engine from retrying inside long runs
-    # of blanks in the middle of a text.
-    return F.regexp_replace(c, rf"(?s)(?<![{members}])[{members}]+\z", "")
+def rstrip(c: Column) -> Column:
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def strip_chars(c: Column, members: str) -> Column:
-    """``str.strip(chars)`` for a set of characters."""
-    return rstrip(lstrip(c, members), members)
+    """``str.strip(chars)``."""
+    return F.btrim(c, F.lit(members))
+
+
+def lstrip_chars(c: Column, members: str) -> Column:
+    return F.ltrim(c, F.lit(members))
+
+
+def rstrip_chars(c: Column, members: str) -> Column:
+    return F.rtrim(c, F.lit(members))
 
 
 def nullif_empty(c: Column) -> Column:
@@ -69,15 +79,23 @@ def last_match(c: Column, pattern: str, group: int = 1) -> Column:
     )
 
 
-def ending_match(c: Column, head: str, flags: str = "s", at_word: bool = True) -> Column:
-    """Group 1 of the last place where ``head`` matches.
+def ending_match(c: Column, lead: str, rest: str, flags: str = "s", at_word: bool = True) -> Column:
+    """Group 1 of the last place where ``lead`` and ``rest`` match.
 
     A greedy prefix finds the last start directly, so no array of all matches
-    is built. ``head`` must not be able to start inside its own match;
-    ``at_word`` asks for a word boundary in front of it.
+    is built. ``lead`` has a fixed width and cannot occur inside a match; it
+    is tried first, and only behind it, if ``at_word``, whether a word begins
+    there. That keeps the cost at places without a match to one comparison.
     """
-    prefix = rf"(?:.*{NOT_WORD})?" if at_word else ".*"
-    return nullif_empty(F.regexp_extract(c, rf"(?{flags})\A{prefix}{head}", 1))
+    word_start = rf"(?<![{WORD}]{lead})" if at_word else ""
+    return nullif_empty(F.regexp_extract(c, rf"(?{flags})\A.*{lead}{word_start}{rest}", 1))
+
+
+def last_word_letter(c: Column, letters: str) -> Column:
+    """Last of the given capital letters that stands alone as a word."""
+    one = f"[{letters}]"
+    pattern = rf"(?s)\A.*({one})(?<![{WORD}]{one})(?:{NOT_WORD}|\z)"
+    return nullif_empty(F.regexp_extract(c, pattern, 1))
 
 
 def replace_all(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:
@@ -148,9 +166,13 @@ def valid_json(c: Column) -> Column:
     an array and inside an object the rest would have to be valid as well,
     and no rest is valid in both.
     """
-    item = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    member = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    single = F.try_variant_get(item, "$[0]", "variant").isNotNull() & F.try_variant_get(
-        item, "$[1]", "variant"
-    ).isNull()
-    return F.when(single & member.isNotNull(), c)
+
+    def check(t: Column) -> Column:
+        item = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+        member = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+        single = F.try_variant_get(item, "$[0]", "variant").isNotNull() & F.try_variant_get(
+            item, "$[1]", "variant"
+        ).isNull()
+        return F.when(single & member.isNotNull(), t)
+
+    return let(c, check)

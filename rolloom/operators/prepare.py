@@ -219,7 +219,7 @@ CODE_MARKER = "# Your code here\n"
 
 def _without_lead(c: Column, line: str) -> Column:
     def cut(q: Column) -> Column:
-        rest = tx.lstrip(F.substring(q, len(line) + 1, 2**31 - 1), r"\n")
+        rest = tx.lstrip_chars(F.substring(q, len(line) + 1, 2**31 - 1), "\n")
         return F.when(F.startswith(q, F.lit(line)), rest).otherwise(q)
 
     return tx.let(c, cut)
@@ -229,7 +229,7 @@ def _without_code_preamble(c: Column) -> Column:
     marked = F.regexp_replace(
         tx.after_first(c, CODE_MARKER), rf"\A(?:```?{tx.ws()}*\n+)?\n*", ""
     )
-    second = tx.lstrip(tx.after_first(c, "\n\n"), r"\n")
+    second = tx.lstrip_chars(tx.after_first(c, "\n\n"), "\n")
     return F.coalesce(marked, second, c)
 
 

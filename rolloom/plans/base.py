@@ -15,6 +15,30 @@ TABLES = (
 ).split()
 
 
+# Views whose operators are bound by the work per row, with the column that
+# spreads them.
+SPREAD = {
+    "f_resp": "resp_id",
+    "f_mix": "id",
+    "f_step": "resp_id",
+    "f_tok": "resp_id",
+    "f_verd": "test_idx",
+    "f_cf": "id",
+    "f_cf_tests": "ord",
+    "f_date": "id",
+    "documents": "doc_id",
+}
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Use all cores where the files have fewer splits than there are cores.
+
+    A large table has more splits than cores and is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 class Inputs:
     """Tables and fixture views of one data folder."""
 
@@ -32,9 +56,13 @@ class Inputs:
         return self.spark.sql(text)
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in FIXTURES:
-            return self.sql(FIXTURES[name][0])
-        raise AttributeError(name)
+        if name not in FIXTURES:
+            raise AttributeError(name)
+        rows = self.sql(FIXTURES[name][0])
+        return spread(rows, SPREAD[name]) if name in SPREAD else rows
+
+    def documents(self) -> DataFrame:
+        return spread(self.table("documents"), SPREAD["documents"])
 
 
 _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}

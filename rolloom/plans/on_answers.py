@@ -322,7 +322,7 @@ def json_answer(v):
         .otherwise(body)
     )
     parsed = F.try_parse_json(ex.json_answer(reply))
-    return v.table("documents").select(
+    return v.documents().select(
         "doc_id",
         F.try_variant_get(parsed, "$.id", "string").alias("id"),
         F.try_variant_get(parsed, "$.note", "string").alias("note"),
@@ -349,7 +349,7 @@ def literal_answer(v):
         .otherwise(F.concat(F.lit("{'source': "), body))
     )
     parsed = F.try_parse_json(ex.literal_answer(reply))
-    return v.table("documents").select(
+    return v.documents().select(
         "doc_id",
         F.try_variant_get(parsed, "$.source", "string").alias("source"),
         F.try_variant_get(parsed, "$.n", "bigint").alias("n"),

@@ -71,7 +71,7 @@ def round_table_function(v):
 def tokenizer(v):
     """The default tokenizer, and a byte tokenizer plugged in."""
     as_bytes = tk.tokenizer(lambda text: list(text.encode("utf-8")))
-    return v.table("documents").select(
+    return v.documents().select(
         "doc_id",
         F.size(tk.split_words(F.col("text"))).alias("n_words"),
         F.size(as_bytes(F.col("text"))).cast("bigint").alias("n_bytes"),
@@ -88,7 +88,7 @@ S = tx.SPACE
 )
 def string_surface(v):
     c = F.col("text")
-    return v.table("documents").select(
+    return v.documents().select(
         "doc_id",
         tx.strip(c).alias("stripped"),
         tx.after_last(c, " ").alias("last_word"),

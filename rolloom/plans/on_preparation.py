@@ -316,4 +316,4 @@ def option_letters(v):
     k = F.col("doc_id") % 5
     path = F.when(k == 1, "/data/ARC_C.json").when(k == 2, "x/MMLU.json").when(k == 3, F.concat(F.lit("y/"), "source")).otherwise("MMLU_Pro.json")
     explicit = F.when(F.col("doc_id") % 3 == 0, F.lit("ABC"))
-    return v.table("documents").select("doc_id", pr.option_letters(explicit, path).alias("letters"))
+    return v.documents().select("doc_id", pr.option_letters(explicit, path).alias("letters"))

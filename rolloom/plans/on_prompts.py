@@ -75,7 +75,7 @@ def trivia_chat(v):
 
 
 def _questions(v):
-    return v.table("documents").select(
+    return v.documents().select(
         "doc_id", (F.col("doc_id") % 6).cast("int").alias("subject"), F.col("text").alias("question")
     )
 

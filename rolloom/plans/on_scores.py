@@ -140,7 +140,7 @@ def normal_form(v):
 
 @query("e07_degenerate_text")
 def degenerate(v):
-    return v.table("documents").select(
+    return v.documents().select(
         "doc_id", latex.degenerate(F.col("text")).alias("degenerate"),
         F.round(latex.repetition(F.col("text")), 9).alias("score"),
     )
@@ -355,6 +355,6 @@ def clean_kwargs(v):
 def error_taxonomy(v):
     k = F.col("doc_id") % 5
     code = F.when(k < 4, -1 - k)
-    return verdicts.error_report(v.table("documents").withColumn("code", code), "code", "text").select(
+    return verdicts.error_report(v.documents().withColumn("code", code), "code", "text").select(
         "doc_id", "error", "shown", "output"
     )
