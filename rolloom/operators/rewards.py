@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MARGIN = 5  # fixed value: tokens below the cap that still count as cut off
@@ -73,8 +73,9 @@ def accuracy(rows: DataFrame, correct: str = "correct", scorable: str = "scorabl
         .when(F.col("_gid") == 0b101, "category")
         .otherwise("subdivision")
     )
-    several = used.agg((F.min("subdivision") != F.max("subdivision")).alias("m")).scalar()
     label = F.coalesce(*sets)
+    # The data is aggregated by now: this window sees one row per label.
+    labels = F.count("label").over(Window.partitionBy("level"))
     return (
         grouped.select(
             level.alias("level"),
@@ -83,8 +84,10 @@ def accuracy(rows: DataFrame, correct: str = "correct", scorable: str = "scorabl
             "n",
             (F.col("n_correct") / F.greatest("n", F.lit(1))).alias("accuracy"),
         )
+        .withColumn("_labels", labels)
         .filter((F.col("level") == "all") | F.col("label").isNotNull())
-        .filter((F.col("level") != "subdivision") | F.coalesce(several, F.lit(False)))
+        .filter((F.col("level") != "subdivision") | (F.col("_labels") > 1))
+        .drop("_labels")
     )
 
 

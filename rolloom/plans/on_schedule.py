@@ -20,7 +20,9 @@ from rolloom.plans.base import query
     WHERE (position - 1) // 128 + 1 <= ceil(n.n / 128.0) * 2""",
 )
 def epoch_chunks(v):
-    return sc.epoch_chunks(v.f_mix.select("id"), "id", chunk=128, epochs=2, seed=11)
+    # Only the ids are read, and their number comes from the file footers.
+    ids = v.table("documents").select(F.col("doc_id").alias("id"))
+    return sc.epoch_chunks(ids, "id", chunk=128, epochs=2, seed=11)
 
 
 @query(
