@@ -114,17 +114,23 @@ def same_return(out_json: Column, expected_json: Column) -> Column:
     accepts the bare element; numbers compare by value, objects by content
     whatever the order of their keys.
     """
-    got, want = _canonical(out_json), _canonical(expected_json)
     parsed = F.try_parse_json(expected_json)
     items = F.try_variant_get(parsed, "$", "array<variant>")
     first = F.when(F.size(items) >= 1, F.to_json(F.try_variant_get(parsed, "$[0]", "variant")))
+    sides = F.struct(
+        _canonical(out_json).alias("got"), _canonical(expected_json).alias("want"), first.alias("first")
+    )
 
-    def number(c: Column) -> Column:
-        return c.try_cast("double")
+    def compare(s: Column) -> Column:
+        number = s["got"].try_cast("double")
+        return (
+            F.coalesce(s["got"] == s["want"], F.lit(False))
+            | F.coalesce(s["got"] == s["first"], F.lit(False))
+            | F.coalesce(number == s["want"].try_cast("double"), F.lit(False))
+            | F.coalesce(number == s["first"].try_cast("double"), F.lit(False))
+        )
 
-    same = (got == want) | (got == first)
-    numeric = (number(got) == number(want)) | (number(got) == number(first))
-    return F.coalesce(same, F.lit(False)) | F.coalesce(numeric, F.lit(False))
+    return tx.let(sides, compare)
 
 
 def above(score: Column, threshold: float = 0.5) -> Column:

@@ -145,23 +145,17 @@ def equivalent(a: Column, b: Column) -> Column:
 def repeat_score(s: str) -> float:
     """Sum of common prefixes of neighbouring suffixes, over n(n+1)/2.
 
-    Prefix doubling ranks all substrings of length 1, 2, 4, ... at once; the
-    common prefix of two suffixes is then read off the rank tables from the
-    longest length down. All steps are array operations over the whole text.
+    Prefix doubling orders the suffixes and leaves one table per power of two
+    that tells which substrings of that length are equal. The common prefix
+    of two suffixes is then read off the tables, longest length first. Short
+    lengths are packed into integers; longer ones are only worked out for
+    suffixes that still share a prefix with another.
     """
     n = len(s)
     if n <= 1:
         return 0.0
-    rank = np.unique(np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32), return_inverse=True)[1]
-    tables, width = [rank.astype(np.int64)], 1
-    while tables[-1].max() < n - 1 and width < n:
-        cur = tables[-1]
-        ahead = np.full(n, -1, dtype=np.int64)
-        ahead[: n - width] = cur[width:]
-        pair = cur * (n + 1) + (ahead + 1)
-        tables.append(np.unique(pair, return_inverse=True)[1].astype(np.int64))
-        width *= 2
-    order = np.argsort(tables[-1], kind="stable")
+    codes = np.unique(np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32), return_inverse=True)[1]
+    tables, order = _substring_tables(codes.astype(np.int64) + 1)
     left, right = order[:-1].copy(), order[1:].copy()
     total = 0
     for level in range(len(tables) - 1, -1, -1):
@@ -174,6 +168,56 @@ def repeat_score(s: str) -> float:
     return total * 2 / (n * (n + 1))
 
 
+def _ahead(values: np.ndarray, width: int) -> np.ndarray:
+    """Values ``width`` places further on, 0 behind the end."""
+    out = np.zeros_like(values)
+    if width < len(values):
+        out[:-width] = values[width:]
+    return out
+
+
+def _substring_tables(codes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Tables of equal substrings of length 1, 2, 4, ... and the suffix order."""
+    n, bits = len(codes), int(codes.max()).bit_length()
+    tables, width = [codes], 1
+    while 2 * width * bits <= 62 and width < n:
+        cur = tables[-1]
+        tables.append((cur << (width * bits)) | _ahead(cur, width))
+        width *= 2
+    order = np.argsort(tables[-1], kind="stable")
+    starts = _group_starts(tables[-1][order], np.arange(n))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = starts
+    while width < n:
+        # slots of the order whose suffix equals a neighbour so far
+        tied = np.zeros(n, dtype=bool)
+        repeat = starts[1:] == starts[:-1]
+        tied[1:] |= repeat
+        tied[:-1] |= repeat
+        slots = np.flatnonzero(tied)
+        if not len(slots):
+            break
+        who = order[slots]
+        # rank of the part behind, 0 if the suffix ends there
+        behind = np.where(who + width < n, rank[np.minimum(who + width, n - 1)] + 1, 0)
+        key = rank[who] * (n + 2) + behind
+        sort = np.argsort(key, kind="stable")
+        order[slots] = who[sort]
+        starts[slots] = _group_starts(key[sort], slots)
+        rank = rank.copy()
+        rank[order[slots]] = starts[slots]
+        tables.append(rank)
+        width *= 2
+    return tables, order
+
+
+def _group_starts(keys: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """For sorted keys, the slot at which each one's run of equals begins."""
+    first = np.ones(len(keys), dtype=bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return slots[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
+
+
 @F.pandas_udf(T.DoubleType())
 def repetition(texts: pd.Series) -> pd.Series:
     return texts.map(repeat_score, na_action="ignore")

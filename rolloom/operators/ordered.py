@@ -3,9 +3,10 @@
 A running total, a dense row number or a fill-forward over all rows needs
 order across partitions. Rows are cut into buckets of the order column, each
 bucket is reduced to one row, and the same operator runs over the bucket rows
-(level by level) to give every bucket its starting value. Every window then
-spans one bucket of at most ``WIDTH`` order values, whatever the table size
-and however much one key holds.
+to give every bucket its starting value. A window then spans one bucket of at
+most ``WIDTH`` order values, however much one key holds, and the last one the
+buckets of a key: 1.5 million rows for 10**11 order values. ``levels`` adds
+further rounds of buckets for still longer keys.
 """
 
 from __future__ import annotations
@@ -13,17 +14,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 4096
+WIDTH = 65536
 
 
 def running_sums(
-    rows: DataFrame, keys: list[str], order: str, values: list[str], levels: int = 2, width: int = WIDTH
+    rows: DataFrame, keys: list[str], order: str, values: list[str], levels: int = 1, width: int | None = None
 ) -> DataFrame:
     """Adds ``<value>_before``: the sum over all rows of the key that precede.
 
     ``order`` is an integer column, unique within the keys. With ``levels``
     bucket levels the last window sees ``n / width**levels`` rows per key.
     """
+    width = width or WIDTH
     before = [f"{v}_before" for v in values]
     own = Window.partitionBy(*keys).orderBy(order)
     if levels == 0:
@@ -80,8 +82,8 @@ def last_seen(
     order: str,
     value: Column,
     name: str,
-    levels: int = 2,
-    width: int = WIDTH,
+    levels: int = 1,
+    width: int | None = None,
     inclusive: bool = True,
 ) -> DataFrame:
     """Adds the latest non-NULL ``value`` of an earlier row (or the same one).
@@ -89,6 +91,7 @@ def last_seen(
     This is an as-of join of a log with itself: each line takes the most
     recent header.
     """
+    width = width or WIDTH
     end = 0 if inclusive else -1
     marked = rows.withColumn(name, value)
     kept = [c for c in rows.columns if c != name]

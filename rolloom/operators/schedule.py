@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolloom.functions.hashing import order_key
-from rolloom.operators.ordered import WIDTH, hashed_index, running_sums
+from rolloom.operators.ordered import hashed_index, running_sums
 
 
 # --- order of prompts --------------------------------------------------------
@@ -134,7 +134,7 @@ def scheduled_threshold(
     return F.when(step <= hold, F.lit(float(start))).otherwise(moved)
 
 
-def changes(rows: DataFrame, value: str, width: int = WIDTH) -> DataFrame:
+def changes(rows: DataFrame, value: str) -> DataFrame:
     """Rows whose value differs from the step before (the first one counts).
 
     Steps of a run are numbered without gaps, so the neighbour is found by

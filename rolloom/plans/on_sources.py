@@ -20,7 +20,7 @@ _DOC = "doc_id bigint, text string, lang string"
 def json_arrays(v):
     path = work_dir(v.spark, "arrays")
     record = F.to_json(F.struct("doc_id", "text", "lang"))
-    chunks = v.table("documents").groupBy(F.floor(F.col("doc_id") / 64).alias("chunk")).agg(F.collect_list(record).alias("r"))
+    chunks = v.table("documents").groupBy(F.floor(F.col("doc_id") / 512).alias("chunk")).agg(F.collect_list(record).alias("r"))
     arrays = chunks.select("chunk", F.concat(F.lit("["), F.array_join("r", ",\n"), F.lit("]")).alias("value"))
     arrays.write.partitionBy("chunk").text(path)
     return fs.read_json_arrays(v.spark, path, _DOC).select("doc_id", "text", "lang")
@@ -157,14 +157,12 @@ def dataset_verification(v):
     "SELECT CAST(regexp_extract(run, '([0-9]+)$', 1) AS INT) AS run, CASE WHEN mtime % 1100 <> 0 THEN current_epoch END AS step FROM f_runs",
 )
 def run_catalogue(v):
-    """Documents on disk per run; some truncated, some without a step."""
-    path = work_dir(v.spark, "runs")
+    """Metadata documents, some truncated, some without a step."""
     doc = F.to_json(F.struct("current_epoch", F.lit("best").alias("last_save_name")))
     text = F.when(F.col("mtime") % 1100 == 0, F.substring(doc, 1, 9)).otherwise(doc)
     run = F.regexp_extract("run", "([0-9]+)$", 1).cast("int")
-    v.f_runs.select(run.alias("run"), text.alias("value")).write.partitionBy("run").text(path)
-    runs = fs.read_run_catalogue(v.spark, path)
-    return runs.select("run", F.col("meta.current_epoch").alias("step"))
+    docs = v.f_runs.select(run.alias("run"), text.alias("doc"))
+    return fs.run_steps(docs, "doc").select("run", F.col("meta.current_epoch").alias("step"))
 
 
 _SQL_DOCS = """SELECT o_orderkey AS run, unnest(['model.name', 'model.layers.0', 'model.layers.1.width', 'seed', 'note', 'debug']) AS key,

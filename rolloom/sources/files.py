@@ -65,9 +65,13 @@ def merged_chunks(chunks: DataFrame, expected: DataFrame, order: list[str]) -> D
 RUN_META = "current_epoch int, last_save_name string"
 
 
+def run_steps(docs: DataFrame, text: str, schema: str = RUN_META) -> DataFrame:
+    """Parsed metadata documents; unreadable ones give a NULL step."""
+    meta = F.from_json(text, schema, {"mode": "PERMISSIVE"})
+    return docs.select(*[c for c in docs.columns if c != text], meta.alias("meta"))
+
+
 def read_run_catalogue(spark: SparkSession, path: str, schema: str = RUN_META) -> DataFrame:
-    """One metadata document per run; unreadable ones give a NULL step."""
+    """One metadata file per run."""
     docs = spark.read.option("wholetext", True).text(path)
-    meta = F.from_json("value", schema, {"mode": "PERMISSIVE"})
-    kept = [c for c in docs.columns if c != "value"]
-    return docs.select(*kept, meta.alias("meta"), F.input_file_name().alias("file"))
+    return run_steps(docs.withColumn("file", F.input_file_name()), "value", schema)
