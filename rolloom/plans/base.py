@@ -39,6 +39,10 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
+# Schemas already read from file footers, by path.
+_SCHEMAS: dict = {}
+
+
 class Inputs:
     """Tables and fixture views of one data folder."""
 
@@ -47,7 +51,10 @@ class Inputs:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def sql(self, text: str) -> DataFrame:
         for name in TABLES:

@@ -74,7 +74,7 @@ def difficulty_report(v):
 @query(
     "g04_training_records",
     f"""SELECT sample_id, resp_idx, concat('Q', CAST(sample_id AS VARCHAR)) AS prompt, CAST(sample_id AS VARCHAR) AS question, reward,
-        length(response) AS response_chars, 3 AS steps FROM ({_SQL_Z}) z""",
+        CAST(length(response) AS INT) AS response_chars, 3 AS steps FROM ({_SQL_Z}) z""",
 )
 def training_records(v):
     rows = _rewarded(v).select(

@@ -13,7 +13,7 @@ from rolloom.plans.base import query
 _VALUES = ["response", "n_tokens", "correct"]
 
 
-@query("f01_flatten_lists", "SELECT sample_id, resp_idx, length(response) AS chars, n_tokens, correct FROM f_roll")
+@query("f01_flatten_lists", "SELECT sample_id, resp_idx, CAST(length(response) AS INT) AS chars, n_tokens, correct FROM f_roll")
 def flatten_lists(v):
     nested = rs.regroup(v.f_roll, "sample_id", "resp_idx", _VALUES)
     flat = rs.flatten_lists(nested, ["sample_id", "part"], _VALUES)
