@@ -65,7 +65,7 @@ def tolerant_output(out: Column, expected: Column, token_sets: bool = False) ->
     within tolerance. ``token_sets`` adds equality of the sets of tokens per
     line, which is off by default: integers must then agree in order.
     """
-    got = tx.lines(tx.rstrip_newline(F.coalesce(out, F.lit(""))))
+    got = tx.split_lines(F.coalesce(out, F.lit("")))
     want = F.transform(F.filter(tx.lines(expected), lambda r: r != ""), tx.strip)
     sides = F.struct(
         got.alias("got"),

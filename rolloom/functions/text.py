@@ -116,6 +116,12 @@ def lines(c: Column) -> Column:
     return F.split(c, "\n", -1)
 
 
+def split_lines(c: Column) -> Column:
+    """``str.splitlines()``, except that the empty text is one empty line."""
+    ends = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+    return F.split(F.regexp_replace(c, rf"(?:{ends})\z", ""), ends, -1)
+
+
 def before(c: Column, marker: str) -> Column:
     """Text before the first marker, or all of it."""
     return F.substring_index(c, marker, 1)
@@ -176,3 +182,8 @@ def valid_json(c: Column) -> Column:
         return F.when(single & member.isNotNull(), t)
 
     return let(c, check)
+
+
+def rstrip_newline(c: Column) -> Column:
+    """Without the final line break, if there is one."""
+    return F.regexp_replace(c, r"\n\z", "")

@@ -61,7 +61,7 @@ def answer_cells(replies: DataFrame, answer: str) -> DataFrame:
 
     ``{"solution": {house: {...}}}``, the houses at the top level, or
     ``{"solution": [{...}, ...]}`` in house order. Adds ``house`` (its
-    number), ``attr``, ``val`` and ``ord``.
+    label), ``attr``, ``val`` and ``ord``.
     """
     objects = "map<string,string>"
     top = F.from_json(F.col(answer), objects)
@@ -79,6 +79,8 @@ def answer_cells(replies: DataFrame, answer: str) -> DataFrame:
         .when(is_list, by_place)
     )
     rows = replies.select("*", F.explode(houses).alias("h"))
-    number = tx.first_match(F.col("h.key"), r"([0-9]+)")
-    rows = rows.select("*", number.alias("house"), F.from_json("h.value", objects).alias("cells"))
+    # the label without the word and its separators: "House 1", "house_1", "#1"
+    bare = F.regexp_replace("h.key", rf"(?i)\A(?:house)?[{tx.SPACE}_#]*", "")
+    label = F.coalesce(tx.first_match(bare, r"([0-9]+)"), bare)
+    rows = rows.select("*", label.alias("house"), F.from_json("h.value", objects).alias("cells"))
     return rows.select("*", F.posexplode("cells").alias("ord", "attr", "val")).drop("h", "cells")

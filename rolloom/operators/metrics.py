@@ -23,17 +23,19 @@ def metric_value(line: Column, name: str) -> Column:
     return tx.first_match(line, rf"(?:\A|  ){name}: *([0-9.]+)").try_cast("double")
 
 
-def paired_results(log: DataFrame) -> DataFrame:
+def paired_results(log: DataFrame, result: str = "train step: 1") -> DataFrame:
     """First result line after each header, with the header's dataset.
 
-    ``log`` has (shard, line_no, line). Result lines without a header of
-    their own are dropped, headers without a result too.
+    ``log`` has (shard, line_no, line). Lines that start with ``result`` are
+    result lines; all others than these and the headers are passed over.
+    Result lines without a header of their own are dropped, headers without a
+    result too.
     """
     is_header = F.startswith("line", F.lit("  Dataset:"))
-    is_result = F.startswith("line", F.lit("train step:"))
+    is_result = F.startswith("line", F.lit(result))
     here = F.when(is_header, F.struct(F.col("line_no").alias("at"), header_name(F.col("line")).alias("dataset")))
     marked = last_seen(log.filter(is_header | is_result), ["shard"], "line_no", here, "header")
-    results = marked.filter(F.startswith("line", F.lit("train step:")) & F.col("header").isNotNull())
+    results = marked.filter(is_result & F.col("header").isNotNull())
     first = results.groupBy("shard", F.col("header.at").alias("at")).agg(
         F.min_by(F.struct("line_no", "line", "header.dataset"), "line_no").alias("r")
     )

@@ -192,7 +192,7 @@ def prefilled(question: Column) -> Column:
 
 
 # --- few-shot ----------------------------------------------------------------
-def _first_examples(shots: DataFrame, group: str, k: int) -> DataFrame:
+def _first_examples(shots: DataFrame, group: str, k: int, columns: list[str]) -> DataFrame:
     """The first k examples of each group, as one ordered array.
 
     The rank filter is applied before the shuffle as well, so no task holds
@@ -200,39 +200,44 @@ def _first_examples(shots: DataFrame, group: str, k: int) -> DataFrame:
     """
     w = Window.partitionBy(group).orderBy("rank")
     first = shots.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
-    listed = first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("n", "q", "gold"))).alias("shots"))
-    return listed
+    return first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("n", *columns))).alias("shots"))
 
 
-def subject_block(subject: Column, question: Column) -> Column:
+def subject_block(subject: Column, question: Column, options: Column) -> Column:
+    """Hint, question and lettered options (an array, empty for none)."""
     hint = F.replace(F.lit(SUBJECT_HINT), F.lit("{subject}"), F.replace(subject, F.lit("_"), F.lit(" ")))
-    return F.concat(hint, F.lit("\nQuestion: "), question, F.lit("\nAnswer:"))
+    lettered = F.transform(
+        options, lambda o, i: F.concat(F.lit("\n"), F.char(i + ord("A")), F.lit(". "), F.coalesce(o, F.lit("")))
+    )
+    return F.concat(hint, F.lit("\nQuestion: "), question, F.array_join(lettered, ""), F.lit("\nAnswer:"))
 
 
 def few_shot_chat(questions: DataFrame, shots: DataFrame, k: int = 5) -> DataFrame:
     """Per-subject examples as chat turns in front of each question.
 
-    ``questions`` has (subject, question), ``shots`` (subject, rank, q, gold).
-    Subjects without examples get the question alone.
+    ``questions`` has (subject, question, options), ``shots`` (subject, rank,
+    q, options, gold); options are arrays of texts. Subjects without examples
+    get the question alone.
     """
-    pool = _first_examples(shots, "subject", k)
+    pool = _first_examples(shots, "subject", k, ["q", "options", "gold"])
     name = F.col("subject").cast("string")
+    none = F.array().cast("array<struct<n:int,q:string,options:array<string>,gold:string>>")
     turns = F.flatten(
         F.transform(
-            F.coalesce("shots", F.array().cast("array<struct<n:int,q:string,gold:string>>")),
+            F.coalesce("shots", none),
             lambda s: F.array(
-                message("user", subject_block(name, s["q"])), message("assistant", s["gold"])
+                message("user", subject_block(name, s["q"], s["options"])), message("assistant", s["gold"])
             ),
         )
     )
-    ask = F.array(message("user", subject_block(name, F.col("question"))))
+    ask = F.array(message("user", subject_block(name, F.col("question"), F.col("options"))))
     joined = questions.join(pool, "subject", "left")
     return joined.withColumn("messages", F.concat(turns, ask)).drop("shots")
 
 
 def few_shot_text(questions: DataFrame, shots: DataFrame, k: int = 3) -> DataFrame:
     """Worked examples as text in front of each question."""
-    pool = _first_examples(shots, "subject", k)
+    pool = _first_examples(shots, "subject", k, ["q", "gold"])
     lead = F.array_join(
         F.transform(
             "shots",

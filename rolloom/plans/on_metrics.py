@@ -9,7 +9,7 @@ from rolloom.operators import rewards as rw
 from rolloom.operators import verdicts as vd
 from rolloom.operators.prepare import resolve_domain
 from rolloom.plans.base import query
-from rolloom.plans.on_reshape import SQL_PAIRED
+from rolloom.plans.on_reshape import sql_paired
 
 
 def r9(c):
@@ -49,7 +49,8 @@ def cap_penalty(v):
     )
 
 
-_SQL_SHARE = "SELECT sample_id, avg(CASE WHEN correct THEN 1 ELSE 0 END) AS share, count(*) AS n FROM f_roll GROUP BY sample_id"
+# The filter sees the same verdicts as the rewards: those after the penalty.
+_SQL_SHARE = f"SELECT sample_id, avg(CASE WHEN {_SQL_CAPPED} THEN 1 ELSE 0 END) AS share, count(*) AS n FROM f_roll GROUP BY sample_id"
 
 
 @query(
@@ -57,9 +58,8 @@ _SQL_SHARE = "SELECT sample_id, avg(CASE WHEN correct THEN 1 ELSE 0 END) AS shar
     f"SELECT r.sample_id, r.resp_idx FROM f_roll r JOIN ({_SQL_SHARE}) s ON s.sample_id = r.sample_id WHERE s.share BETWEEN 0.2 AND 0.8",
 )
 def difficulty_filter(v):
-    return rw.by_difficulty(v.f_roll.select("sample_id", "resp_idx", "correct"), "sample_id", "correct").select(
-        "sample_id", "resp_idx"
-    )
+    rows = _capped(v).select("sample_id", "resp_idx", "correct_capped")
+    return rw.by_difficulty(rows, "sample_id", "correct_capped").select("sample_id", "resp_idx")
 
 
 @query(
@@ -68,7 +68,7 @@ def difficulty_filter(v):
         coalesce(sum(n) FILTER (WHERE share BETWEEN 0.2 AND 0.8), 0)::BIGINT AS samples FROM ({_SQL_SHARE}) s""",
 )
 def difficulty_report(v):
-    return rw.difficulty_report(v.f_roll, "sample_id", "correct")
+    return rw.difficulty_report(_capped(v), "sample_id", "correct_capped")
 
 
 @query(
@@ -250,11 +250,11 @@ def domain_counts(v):
 
 @query(
     "g16_best_accuracy",
-    f"""WITH {SQL_PAIRED} SELECT round(avg(acc), 9) AS mean_best, count(*) AS datasets FROM (
+    f"""WITH {sql_paired('train step:')} SELECT round(avg(acc), 9) AS mean_best, count(*) AS datasets FROM (
         SELECT split_part(dataset, '_', 2)::BIGINT % 50 AS d, max(acc) AS acc FROM paired WHERE step = 2 GROUP BY 1) x""",
 )
 def best_accuracy(v):
-    results = mt.paired_results(v.f_log)
+    results = mt.paired_results(v.f_log, "train step:")
     series = (F.split_part("dataset", F.lit("_"), F.lit(2)).cast("bigint") % 50).alias("dataset")
     return mt.best_accuracy(results.select(series, "step", "acc"), 2).select(
         r9(F.col("mean_best")).alias("mean_best"), "datasets"
@@ -303,8 +303,8 @@ def weighted_means(v):
 
 @query(
     "g20_results_table",
-    f"""WITH {SQL_PAIRED} SELECT dataset, format('{{:.4f}}', acc) AS acc, format('{{:.1f}}', avg_len) AS avg_len, format('{{:.3f}}', tok_per_step) AS tok_per_step
-        FROM paired WHERE step = 1""",
+    f"""WITH {sql_paired('train step: 1')} SELECT dataset, format('{{:.4f}}', acc) AS acc, format('{{:.1f}}', avg_len) AS avg_len, format('{{:.3f}}', tok_per_step) AS tok_per_step
+        FROM paired""",
 )
 def results_table(v):
-    return mt.results_table(mt.paired_results(v.f_log).filter("step = 1"))
+    return mt.results_table(mt.paired_results(v.f_log))

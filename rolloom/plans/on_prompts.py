@@ -76,26 +76,31 @@ def trivia_chat(v):
 
 def _questions(v):
     return v.documents().select(
-        "doc_id", (F.col("doc_id") % 6).cast("int").alias("subject"), F.col("text").alias("question")
+        "doc_id",
+        (F.col("doc_id") % 6).cast("int").alias("subject"),
+        F.col("text").alias("question"),
+        F.array("lang", "source", F.lit("x"), F.lit(None).cast("string")).alias("options"),
     )
 
 
-def _sql_block(question: str) -> str:
+def _sql_block(question: str, a: str, b: str) -> str:
     head, tail = pm.SUBJECT_HINT.split("{subject}")
-    return f"concat({sql_text(head)}, CAST(subject AS VARCHAR), {sql_text(tail)}, chr(10), 'Question: ', {question}, chr(10), 'Answer:')"
+    return f"""concat({sql_text(head)}, CAST(subject AS VARCHAR), {sql_text(tail)}, chr(10), 'Question: ', {question}, chr(10), 'A. ', {a},
+        chr(10), 'B. ', {b}, chr(10), 'C. x', chr(10), 'D. ', chr(10), 'Answer:')"""
 
 
 @query(
     "c06_few_shot_chat",
     f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY rank) AS n FROM f_shot),
-      pool AS (SELECT subject, string_agg(concat({sql_turn('user', _sql_block('q'))}, {sql_turn('assistant', 'gold')}), '' ORDER BY n) AS shots
+      pool AS (SELECT subject, string_agg(concat({sql_turn('user', _sql_block('q', 'gold', 'CAST(rank AS VARCHAR)'))}, {sql_turn('assistant', 'gold')}), '' ORDER BY n) AS shots
         FROM r WHERE n <= 5 GROUP BY subject),
-      ask AS (SELECT doc_id, CAST(doc_id % 6 AS INT) AS subject, text FROM documents)
-    SELECT a.doc_id, concat(coalesce(p.shots, ''), {sql_turn('user', _sql_block('text').replace('subject AS', 'a.subject AS'))}, {HEADER}) AS prompt
+      ask AS (SELECT doc_id, CAST(doc_id % 6 AS INT) AS subject, text, lang, source FROM documents)
+    SELECT a.doc_id, concat(coalesce(p.shots, ''), {sql_turn('user', _sql_block('text', 'lang', 'source').replace('subject AS', 'a.subject AS'))}, {HEADER}) AS prompt
     FROM ask a LEFT JOIN pool p ON p.subject = a.subject""",
 )
 def few_shot_chat(v):
-    chats = pm.few_shot_chat(_questions(v), v.f_shot)
+    options = F.array("gold", F.col("rank").cast("string"), F.lit("x"), F.lit(None).cast("string"))
+    chats = pm.few_shot_chat(_questions(v), v.f_shot.withColumn("options", options))
     return chats.select("doc_id", pm.render(F.col("messages")).alias("prompt"))
 
 

@@ -70,18 +70,20 @@ def split_by_method(v):
     return rs.split_by_method(v.f_tests, "test_method", on_stdio, on_function, "plan").select("sample_id", "plan")
 
 
-SQL_PAIRED = r"""paired AS (
+def sql_paired(result: str) -> str:
+    return rf"""paired AS (
       SELECT shard, line_no, dataset, CAST(regexp_extract(line, '\Atrain step: ([0-9]+)', 1) AS INT) AS step,
         CAST(nullif(regexp_extract(line, '  acc: *([0-9.]+)', 1), '') AS DOUBLE) AS acc,
         CAST(nullif(regexp_extract(line, '  avg length: *([0-9.]+)', 1), '') AS DOUBLE) AS avg_len,
         CAST(nullif(regexp_extract(line, '  avg tok/step: *([0-9.]+)', 1), '') AS DOUBLE) AS tok_per_step
       FROM (SELECT *, row_number() OVER (PARTITION BY shard, grp ORDER BY line_no) AS n, max(h) OVER (PARTITION BY shard, grp) AS dataset
             FROM (SELECT *, sum(CASE WHEN h IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY shard ORDER BY line_no) AS grp
-                  FROM (SELECT *, CASE WHEN starts_with(line, '  Dataset:') THEN regexp_extract(line, 'Dataset: *(.*?) +\(', 1) END AS h FROM f_log) a) b) c
+                  FROM (SELECT *, CASE WHEN starts_with(line, '  Dataset:') THEN regexp_extract(line, 'Dataset: *(.*?) +\(', 1) END AS h FROM f_log
+                        WHERE starts_with(line, '  Dataset:') OR starts_with(line, '{result}')) a) b) c
       WHERE n = 2 AND starts_with(line, 'train step:'))"""
 
 
-@query("f06_log_pairing", f"WITH {SQL_PAIRED} SELECT * FROM paired")
+@query("f06_log_pairing", f"WITH {sql_paired('train step: 1')} SELECT * FROM paired")
 def log_pairing(v):
     return mt.paired_results(v.f_log)
 

@@ -72,10 +72,12 @@ def test_log_pairing(spark):
     lines = [
         "  Dataset: A (max=1)", "noise", "train step: 1  acc: 0.5  avg length: 10.0  avg tok/step: 1.0",
         "train step: 1  acc: 0.9  avg length: 1.0  avg tok/step: 2.0", "  Dataset: B (x)", "  Dataset: C (x)",
-        "train step: 2  acc: 0.25  avg length: 3.0  avg tok/step: 1.5  [x]", "  Dataset: D (x)",
+        "train step: 2  acc: 0.25  avg length: 3.0  avg tok/step: 1.5  [x]", "train step: 10  acc: 0.75", "  Dataset: D (x)",
     ]
     log = spark.createDataFrame([(0, i, s) for i, s in enumerate(lines)], "shard int, line_no long, line string")
     got = sorted((r.dataset, r.step, r.acc) for r in mt.paired_results(log).collect())
+    assert got == [("A", 1, 0.5), ("C", 10, 0.75)]
+    got = sorted((r.dataset, r.step, r.acc) for r in mt.paired_results(log, "train step:").collect())
     assert got == [("A", 1, 0.5), ("C", 2, 0.25)]
 
 
@@ -89,13 +91,17 @@ def test_regroup_splits_hot_keys(spark):
 
 
 def test_few_shot(spark):
-    shots = spark.createDataFrame([("a_b", r, f"q{r}", "A") for r in range(9)], "subject string, rank int, q string, gold string")
-    asks = spark.createDataFrame([("a_b", "x"), ("none", "y")], "subject string, question string")
+    pool = [("a_b", r, f"q{r}", ["one", None], "A") for r in range(9)]
+    shots = spark.createDataFrame(pool, "subject string, rank int, q string, options array<string>, gold string")
+    asks = spark.createDataFrame(
+        [("a_b", "x", ["p", "q"]), ("none", "y", [])], "subject string, question string, options array<string>"
+    )
     rows = {r.subject: r.messages for r in pm.few_shot_chat(asks, shots, 2).collect()}
     assert [m.role for m in rows["a_b"]] == ["user", "assistant"] * 2 + ["user"]
     assert rows["a_b"][0].content == (
-        "There is a single choice question about a b. Answer the question by replying A, B, C or D.\nQuestion: q0\nAnswer:"
+        "There is a single choice question about a b. Answer the question by replying A, B, C or D.\nQuestion: q0\nA. one\nB. \nAnswer:"
     )
+    assert rows["a_b"][-1].content.endswith("Question: x\nA. p\nB. q\nAnswer:")
     assert len(rows["none"]) == 1
     texts = {r.subject: r.prompt for r in pm.few_shot_text(asks, shots).collect()}
     assert texts["a_b"].count("Let's think") == 4 and texts["none"].startswith("Q: y")
