@@ -124,21 +124,24 @@ def equivalent(a: Column, b: Column) -> Column:
 
     Two missing answers are equal; a missing and a present one are not.
     """
-    forms = F.struct(
-        strict_form(a).alias("x"), strict_form(b).alias("y"), a.alias("a"), b.alias("b")
-    )
+    # One lambda serves both sides, which halves the expression.
+    given = F.array(a, b)
+    forms = F.transform(given, strict_form)
+
+    def with_values(form: Column) -> Column:
+        return F.struct(form.alias("text"), number_value(form).alias("value"))
 
-    def compare(f: Column) -> Column:
-        u, v = number_value(f["x"]), number_value(f["y"])
+    def compare(sides: Column) -> Column:
+        x, y = sides[0], sides[1]
+        numbers = x["value"].isNotNull() & y["value"].isNotNull()
         same = (
-            F.when(f["x"].isNull() | f["y"].isNull(), f["a"] == f["b"])
-            .when(u.isNotNull() & v.isNotNull(), (u == v) & ~F.isnan(u))
-            .otherwise(f["x"] == f["y"])
+            F.when(x["text"].isNull() | y["text"].isNull(), a == b)
+            .when(numbers, (x["value"] == y["value"]) & ~F.isnan(x["value"]))
+            .otherwise(x["text"] == y["text"])
         )
-        neither = f["a"].isNull() & f["b"].isNull()
-        return F.when(neither, F.lit(True)).otherwise(F.coalesce(same, F.lit(False)))
+        return F.when(a.isNull() & b.isNull(), F.lit(True)).otherwise(F.coalesce(same, F.lit(False)))
 
-    return tx.let(forms, compare)
+    return tx.let(F.transform(forms, with_values), compare)
 
 
 # --- degenerate text ---------------------------------------------------------

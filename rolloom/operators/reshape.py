@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Longest list built for one key. A key with more rows gets several parts, so
 # no task ever holds an unbounded group; every row stays in exactly one part.
-PART = 4096
+PART = 512
 
 
 def flatten_lists(nested: DataFrame, keys: list[str], lists: list[str], index: str = "resp_idx") -> DataFrame:

@@ -31,12 +31,12 @@ SPREAD = {
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Use all cores where the files have fewer splits than there are cores.
+    """Use all cores where the files have far fewer splits than there are cores.
 
     A large table has more splits than cores and is left as it is.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() * 4 <= cores else rows
 
 
 # Schemas already read from file footers, by path.

@@ -166,7 +166,7 @@ SELECT conv_id, turn, text AS prompt FROM conversations WHERE role = 'user'
 
 f_outputs = """
 SELECT conv_id, turn - 1 AS turn, text AS response, CAST(conv_id % 8 AS INT) AS chunk_id
-FROM conversations WHERE role = 'assistant' AND conv_id % 8 <> 5
+FROM conversations WHERE role = 'assistant'
 """
 
 f_shot = """

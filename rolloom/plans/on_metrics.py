@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rolloom.functions import check as ck
+from rolloom.functions import extract as ex
 from rolloom.operators import metrics as mt
 from rolloom.operators import rewards as rw
 from rolloom.operators import verdicts as vd
 from rolloom.operators.prepare import resolve_domain
 from rolloom.plans.base import query
+from rolloom.plans.on_answers import sql_mc_letter
 from rolloom.plans.on_reshape import sql_paired
+from rolloom.plans.on_scores import sql_letter
 
 
 def r9(c):
@@ -308,3 +312,46 @@ def weighted_means(v):
 )
 def results_table(v):
     return mt.results_table(mt.paired_results(v.f_log))
+
+
+# --- from responses to rewards and accuracy in one plan ----------------------
+_SQL_JUDGED = f"""j AS (SELECT r.resp_id, r.sample_id, r.domain, d.lang AS subdivision, d.source AS category, d.n_chars AS n_tokens,
+      coalesce({sql_letter(sql_mc_letter('response'))} = gold, false) AS correct FROM f_resp r JOIN documents d ON d.doc_id = r.resp_id)"""
+
+
+def _judged(v):
+    """Letters extracted from whole responses and compared with the key."""
+    rows = v.f_resp.select("resp_id", "sample_id", "domain", "gold", ex.mc_letter(F.col("response")).alias("letter"))
+    facts = v.table("documents").select(
+        F.col("doc_id").alias("resp_id"), F.col("lang").alias("subdivision"),
+        F.col("source").alias("category"), F.col("n_chars").alias("n_tokens"),
+    )
+    judged = rows.withColumn("correct", ck.same_letter(F.col("letter"), F.col("gold")))
+    return judged.drop("letter", "gold").join(facts, "resp_id")
+
+
+@query(
+    "g01_reward_from_responses",
+    f"""WITH {_SQL_JUDGED}, x AS (SELECT *, CASE WHEN correct AND NOT n_tokens >= {_CAP} - 5 THEN 1 ELSE 0 END AS x FROM j)
+      SELECT resp_id, sample_id, correct, round(coalesce((CAST(x AS DOUBLE) - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 0), 9) AS reward
+      FROM x WINDOW w AS (PARTITION BY sample_id)""",
+)
+def reward_from_responses(v):
+    rows = _judged(v)
+    kept = rw.capped(F.col("correct"), F.col("n_tokens"), F.lit(_CAP))
+    scored = rw.z_scored(rows.withColumn("x", kept.cast("int")), "sample_id", "x")
+    return scored.select("resp_id", "sample_id", "correct", r9(F.col("reward")).alias("reward"))
+
+
+@query(
+    "g05_accuracy_from_responses",
+    f"""WITH {_SQL_JUDGED}, s AS (SELECT {_SQL_DOM} AS domain, category, subdivision, correct FROM j),
+      g AS (SELECT 'all' AS level, NULL AS label, count(*) FILTER (WHERE correct) AS n_correct, count(*) AS n FROM s
+        UNION ALL SELECT 'domain', domain, count(*) FILTER (WHERE correct), count(*) FROM s GROUP BY domain
+        UNION ALL SELECT 'category', category, count(*) FILTER (WHERE correct), count(*) FROM s GROUP BY category
+        UNION ALL SELECT 'subdivision', subdivision, count(*) FILTER (WHERE correct), count(*) FROM s GROUP BY subdivision)
+      SELECT level, label, n_correct, n, round(n_correct / greatest(n, 1), 9) AS accuracy FROM g""",
+)
+def accuracy_from_responses(v):
+    rows = _judged(v).withColumn("domain", resolve_domain(F.col("domain"))).withColumn("scorable", F.lit(True))
+    return rw.accuracy(rows).withColumn("accuracy", r9(F.col("accuracy")))

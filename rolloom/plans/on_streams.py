@@ -8,14 +8,14 @@ from rolloom.functions import check as ck
 from rolloom.functions import extract as ex
 from rolloom.plans.base import query
 from rolloom.plans.on_answers import sql_mc_letter
-from rolloom.plans.on_scores import _sql_letter
+from rolloom.plans.on_scores import sql_letter
 from rolloom.session import work_dir
 from rolloom.streaming import jobs
 
 
 @query(
     "n01_incremental_scoring",
-    f"""SELECT resp_id, {sql_mc_letter('response')} AS letter, {_sql_letter(sql_mc_letter('response'))} = gold AS correct FROM f_resp""",
+    f"""SELECT resp_id, {sql_mc_letter('response')} AS letter, {sql_letter(sql_mc_letter('response'))} = gold AS correct FROM f_resp""",
 )
 def incremental_scoring(v):
     """Two deliveries, one run after each, the second from the checkpoint."""
