@@ -60,9 +60,13 @@ def dense_index(rows: DataFrame, major: str, minor: str, name: str = "gi") -> Da
     return placed.join(starts, major).select(*rows.columns, index.alias(name))
 
 
-def hashed_index(rows: DataFrame, keys: list[str], hash_col: str, name: str, digits: int = 4) -> DataFrame:
+def hashed_index(
+    rows: DataFrame, keys: list[str], hash_col: str, name: str, digits: int = 4, ties: tuple[str, ...] = ()
+) -> DataFrame:
     """Dense 0-based position in the order of a hexadecimal hash, per key.
 
+    ``ties`` orders rows of equal hash, so that a repeated task agrees.
+
     The leading digits spread the rows evenly over ``16**digits`` buckets per
     key; only the table of bucket counts, of that fixed size, is ordered as a
     whole.
@@ -71,7 +75,7 @@ def hashed_index(rows: DataFrame, keys: list[str], hash_col: str, name: str, dig
     counts = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     prior = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(hash_col)
+    inside = Window.partitionBy(*keys, "_b").orderBy(hash_col, *ties)
     index = (F.col("_start") + F.row_number().over(inside) - 1).cast("bigint")
     return cut.join(starts, [*keys, "_b"]).select(*rows.columns, index.alias(name))
 

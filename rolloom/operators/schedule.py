@@ -7,12 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.functions.hashing import order_key
+from rolloom.functions.hashing import FAST, Draws
 from rolloom.operators.ordered import hashed_index, running_sums
 
 
 # --- order of prompts --------------------------------------------------------
-def epoch_chunks(rows: DataFrame, key: str, chunk: int, epochs: int, seed: int) -> DataFrame:
+def epoch_chunks(
+    rows: DataFrame, key: str, chunk: int, epochs: int, seed: int, draws: Draws = FAST
+) -> DataFrame:
     """Shuffled passes over the prompts, cut into steps of ``chunk``.
 
     The orders of all epochs are one sequence: a step that reaches the end of
@@ -24,8 +26,8 @@ def epoch_chunks(rows: DataFrame, key: str, chunk: int, epochs: int, seed: int)
     steps = (F.ceil(n / chunk) * epochs).cast("bigint")
     passes = F.greatest(F.ceil(steps * chunk / n), F.lit(1)).cast("int")
     each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), passes)))
-    each = each.withColumn("_h", order_key(seed, F.col("epoch"), F.col(key)))
-    placed = hashed_index(each, ["epoch"], "_h", "_i").drop("_h")
+    each = each.withColumn("_h", draws.order(seed, F.col("epoch"), F.col(key)))
+    placed = hashed_index(each, ["epoch"], "_h", "_i", ties=(key,)).drop("_h")
     position = (F.col("epoch") - 1) * n + F.col("_i")
     out = placed.withColumn("position", position + 1).withColumn(
         "step", (F.floor(position / chunk) + 1).cast("bigint")
@@ -33,9 +35,9 @@ def epoch_chunks(rows: DataFrame, key: str, chunk: int, epochs: int, seed: int)
     return out.filter(F.col("step") <= steps).drop("_i")
 
 
-def sample(rows: DataFrame, key: str, k: int, seed: int, step: int = 0) -> DataFrame:
+def sample(rows: DataFrame, key: str, k: int, seed: int, step: int = 0, draws: Draws = FAST) -> DataFrame:
     """k rows without replacement (all if there are fewer), by hashed order."""
-    return rows.orderBy(order_key(f"{seed}:{step}", F.col(key)), key).limit(k)
+    return rows.orderBy(draws.order(f"{seed}:{step}", F.col(key)), key).limit(k)
 
 
 # --- assignment --------------------------------------------------------------

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.functions.hashing import order_key, pick, uniform
+from rolloom.functions.hashing import FAST, Draws
 from rolloom.functions.text import let
 
 
@@ -82,13 +82,15 @@ def expand_rounds(rows: DataFrame, steps: str = "step_map", k: int = 1, size: in
     )
 
 
-def one_round_per_block(rows: DataFrame, key: str, seed: int, steps: str = "step_map", k: int = 1, size: int = 4) -> DataFrame:
+def one_round_per_block(
+    rows: DataFrame, key: str, seed: int, steps: str = "step_map", k: int = 1, size: int = 4, draws: Draws = FAST
+) -> DataFrame:
     """One row per response: each block shows a round drawn for it alone."""
     ranked = rows.withColumn("_r", rounds(F.col(steps), k, size))
 
     def drawn(pos: Column) -> Column:
         count = F.array_max(_block(F.col("_r"), pos, size))
-        return pick(seed, count, F.col(key), F.floor(pos / size)) + 1
+        return draws.pick(seed, count, F.col(key), F.floor(pos / size)) + 1
 
     return ranked.select(
         *rows.columns,
@@ -98,31 +100,33 @@ def one_round_per_block(rows: DataFrame, key: str, seed: int, steps: str = "step
 
 
 # --- random masks ------------------------------------------------------------
-def block_random_mask(key: Column, length: Column, size: int, seed: int) -> Column:
+def block_random_mask(key: Column, length: Column, size: int, seed: int, draws: Draws = FAST) -> Column:
     """A ratio per block, a draw per position, at least one masked per block."""
 
     def draw(pos: Column) -> Column:
-        return uniform(seed + 1, key, pos)
+        return draws.uniform(seed + 1, key, pos)
 
     def one(pos: Column) -> Column:
         blk = F.floor(pos / size)
         first = blk * size
         width = F.least(F.lit(size), length - first)
-        ratio = uniform(seed, key, blk)
-        draws = F.transform(_positions(width.cast("int")), lambda i: draw((i + first).cast("int")))
-        none = ~F.exists(draws, lambda u: u < ratio)
-        forced = first + pick(seed + 2, width, key, blk)
+        ratio = draws.uniform(seed, key, blk)
+        block = F.transform(_positions(width.cast("int")), lambda i: draw((i + first).cast("int")))
+        none = ~F.exists(block, lambda u: u < ratio)
+        forced = first + draws.pick(seed + 2, width, key, blk)
         return (draw(pos) < ratio) | (none & (pos == forced))
 
     return F.transform(_positions(length.cast("int")), one)
 
 
-def range_random_mask(key: Column, length: Column, low: float, high: float, seed: int) -> Column:
+def range_random_mask(
+    key: Column, length: Column, low: float, high: float, seed: int, draws: Draws = FAST
+) -> Column:
     """Masked where one draw does not exceed another from [low, high]."""
 
     def one(pos: Column) -> Column:
-        bar = F.lit(low) + F.lit(high - low) * uniform(seed + 1, key, pos)
-        return uniform(seed, key, pos) <= bar
+        bar = F.lit(low) + F.lit(high - low) * draws.uniform(seed + 1, key, pos)
+        return draws.uniform(seed, key, pos) <= bar
 
     return F.transform(_positions(length.cast("int")), one)
 
@@ -134,12 +138,14 @@ def coupled(rows: DataFrame, mask: str) -> DataFrame:
     return rows.select(*others, F.posexplode(both).alias("half", mask))
 
 
-def mixed_rows(rows: DataFrame, key: str, seed: int, low: float, high: float, k: int = 1, size: int = 4) -> DataFrame:
+def mixed_rows(
+    rows: DataFrame, key: str, seed: int, low: float, high: float, k: int = 1, size: int = 4, draws: Draws = FAST
+) -> DataFrame:
     """Teacher rows get one random mask, student rows their rounds."""
     rows = rows.withColumn("source", F.coalesce("source", F.lit("student")))
     is_teacher = F.col("source") == "teacher"
     student = expand_rounds(rows.filter(~is_teacher), k=k, size=size)
-    mask = range_random_mask(F.col(key), F.size("step_map"), low, high, seed)
+    mask = range_random_mask(F.col(key), F.size("step_map"), low, high, seed, draws)
     teacher = rows.filter(is_teacher).select("*", F.lit(1).alias("round"), mask.alias("target"))
     return student.unionByName(teacher.withColumn("noise", F.col("target")))
 
@@ -331,23 +337,25 @@ def masked_count(length: Column, ratio: Column) -> Column:
     return F.greatest(F.bround(length * ratio, 0), F.lit(1)).cast("int")
 
 
-def scattered_mask(key: Column, length: Column, count: Column, seed: int) -> Column:
+def scattered_mask(key: Column, length: Column, count: Column, seed: int, draws: Draws = FAST) -> Column:
     """``count`` positions: those whose hash is among the smallest."""
-    hashes = F.transform(_positions(length), lambda p: order_key(seed, key, p))
+    ranked = F.transform(
+        _positions(length), lambda p: F.struct(draws.order(seed, key, p).alias("h"), p.alias("p"))
+    )
 
-    def mark(h: Column) -> Column:
-        bar = F.get(F.array_sort(h), count - 1)
-        return let(bar, lambda b: F.transform(h, lambda x: x <= b))
+    def mark(items: Column) -> Column:
+        bar = F.get(F.array_sort(items), count - 1)
+        return let(bar, lambda last: F.transform(items, lambda item: item <= last))
 
-    return let(hashes, mark)
+    return let(ranked, mark)
 
 
-def rectangle_mask(key: Column, length: Column, count: Column, seed: int) -> Column:
+def rectangle_mask(key: Column, length: Column, count: Column, seed: int, draws: Draws = FAST) -> Column:
     """A rectangle of about ``count`` cells on the square grid of the tokens."""
     side = F.floor(F.sqrt(length)).cast("int")
 
     def between(n: int, lo: Column, hi: Column) -> Column:
-        return (lo + pick(seed + n, hi - lo + 1, key)).cast("int")
+        return (lo + draws.pick(seed + n, hi - lo + 1, key)).cast("int")
 
     low = F.ceil(count / side).cast("int")
     height = F.least(between(0, low, F.greatest(F.least(side, count), low)), side)

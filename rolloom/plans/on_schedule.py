@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rolloom.functions.hashing import PORTABLE
 from rolloom.operators import logprob as lp
 from rolloom.operators import ordered
 from rolloom.operators import prepare as pr
@@ -22,7 +23,7 @@ from rolloom.plans.base import query
 def epoch_chunks(v):
     # Only the ids are read, and their number comes from the file footers.
     ids = v.table("documents").select(F.col("doc_id").alias("id"))
-    return sc.epoch_chunks(ids, "id", chunk=128, epochs=2, seed=11)
+    return sc.epoch_chunks(ids, "id", chunk=128, epochs=2, seed=11, draws=PORTABLE)
 
 
 @query(
@@ -30,7 +31,7 @@ def epoch_chunks(v):
     "SELECT id, domain FROM f_mix ORDER BY md5(concat('7:3:', CAST(id AS VARCHAR))) LIMIT 128",
 )
 def sample_prompts(v):
-    return sc.sample(v.f_mix.select("id", "domain"), "id", 128, seed=7, step=3)
+    return sc.sample(v.f_mix.select("id", "domain"), "id", 128, seed=7, step=3, draws=PORTABLE)
 
 
 _SQL_INDEX = """i AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS gi FROM f_requests),

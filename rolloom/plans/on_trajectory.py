@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rolloom.functions import tokens as tk
+from rolloom.functions.hashing import PORTABLE
 from rolloom.operators import trajectory as tr
 from rolloom.plans.base import query
 
@@ -69,34 +70,73 @@ def round_expansion_shrunk(v):
     return rows.select("resp_id", "round", bits("target").alias("target"), bits("noise").alias("noise"))
 
 
-@query("j04_one_round_per_block")
+# The registered queries draw from MD5, which the checking engine has too; the
+# operators' default is a much cheaper hash.
+def sql_uniform(seed: int, *keys: str) -> str:
+    text = f"concat('{seed}:', {", ':', ".join(f'CAST({k} AS VARCHAR)' for k in keys)})"
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496e0)"
+
+
+def sql_pick(seed: int, n: str, *keys: str) -> str:
+    text = f"concat('{seed}:', {", ':', ".join(f'CAST({k} AS VARCHAR)' for k in keys)})"
+    return f"(CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT) % ({n}))"
+
+
+def sql_bits(condition: str) -> str:
+    return f"string_agg(CASE WHEN {condition} THEN '1' ELSE '0' END, '' ORDER BY pos)"
+
+
+@query(
+    "j04_one_round_per_block",
+    f"""WITH {_sql_rounds(1)}, b AS (SELECT *, {sql_pick(5, 'max(r) OVER (PARTITION BY resp_id, pos // 4)', 'resp_id', 'pos // 4')} + 1 AS t FROM r)
+    SELECT resp_id, {sql_bits('r = t')} AS target, {sql_bits('r >= t')} AS noise FROM b GROUP BY resp_id""",
+)
 def one_round_per_block(v):
-    rows = tr.one_round_per_block(v.f_step, "resp_id", seed=5)
+    rows = tr.one_round_per_block(v.f_step, "resp_id", seed=5, draws=PORTABLE)
     return rows.select("resp_id", bits("target").alias("target"), bits("noise").alias("noise"))
 
 
-@query("j05_block_random_mask")
+@query(
+    "j05_block_random_mask",
+    f"""WITH {_LONG}, u AS (SELECT resp_id, pos, pos // 4 AS blk, {sql_uniform(6, 'resp_id', 'pos')} < {sql_uniform(5, 'resp_id', 'pos // 4')} AS hit FROM long),
+      b AS (SELECT *, count(*) FILTER (WHERE hit) OVER w AS hits, count(*) OVER w AS width FROM u WINDOW w AS (PARTITION BY resp_id, blk))
+    SELECT resp_id, {sql_bits(f"hit OR (hits = 0 AND pos = blk * 4 + {sql_pick(7, 'width', 'resp_id', 'blk')})")} AS mask FROM b GROUP BY resp_id""",
+)
 def block_random_mask(v):
-    mask = tr.block_random_mask(F.col("resp_id"), F.size("step_map"), 4, seed=5)
+    mask = tr.block_random_mask(F.col("resp_id"), F.size("step_map"), 4, seed=5, draws=PORTABLE)
     return v.f_step.select("resp_id", bits(mask).alias("mask"))
 
 
-@query("j06_range_random_mask")
+_SQL_RANGE = f"{sql_uniform(5, 'resp_id', 'pos')} <= 0.2e0 + (0.8e0 - 0.2e0) * {sql_uniform(6, 'resp_id', 'pos')}"
+
+
+def _range_mask():
+    return tr.range_random_mask(F.col("resp_id"), F.size("step_map"), 0.2, 0.8, seed=5, draws=PORTABLE)
+
+
+@query("j06_range_random_mask", f"WITH {_LONG} SELECT resp_id, {sql_bits(_SQL_RANGE)} AS mask FROM long GROUP BY resp_id")
 def range_random_mask(v):
-    mask = tr.range_random_mask(F.col("resp_id"), F.size("step_map"), 0.2, 0.8, seed=5)
-    return v.f_step.select("resp_id", bits(mask).alias("mask"))
+    return v.f_step.select("resp_id", bits(_range_mask()).alias("mask"))
 
 
-@query("j07_coupled_masks")
+@query(
+    "j07_coupled_masks",
+    f"""WITH {_LONG}, h AS (SELECT unnest([0, 1]) AS half) SELECT resp_id, half, {sql_bits(f'({_SQL_RANGE}) = (half = 0)')} AS mask
+        FROM long, h GROUP BY resp_id, half""",
+)
 def coupled_masks(v):
-    mask = tr.range_random_mask(F.col("resp_id"), F.size("step_map"), 0.2, 0.8, seed=5)
-    halves = tr.coupled(v.f_step.select("resp_id", mask.alias("mask")), "mask")
+    halves = tr.coupled(v.f_step.select("resp_id", _range_mask().alias("mask")), "mask")
     return halves.select("resp_id", "half", bits("mask").alias("mask"))
 
 
-@query("j08_mixed_sources")
+@query(
+    "j08_mixed_sources",
+    f"""WITH {_sql_rounds(1)} SELECT x.resp_id, 'student' AS source, x.round, {sql_bits('r = round')} AS target, {sql_bits('r >= round')} AS noise
+        FROM x JOIN r ON r.resp_id = x.resp_id WHERE coalesce(r.source, 'student') = 'student' GROUP BY x.resp_id, x.round
+      UNION ALL SELECT resp_id, 'teacher', 1, {sql_bits(_SQL_RANGE)}, {sql_bits(_SQL_RANGE)} FROM long WHERE source = 'teacher' GROUP BY resp_id""",
+)
 def mixed_sources(v):
-    rows = tr.mixed_rows(v.f_step, "resp_id", seed=5, low=0.2, high=0.8)
+    rows = tr.mixed_rows(v.f_step, "resp_id", seed=5, low=0.2, high=0.8, draws=PORTABLE)
     return rows.select("resp_id", "source", "round", bits("target").alias("target"), bits("noise").alias("noise"))
 
 
@@ -240,12 +280,22 @@ def response_length(v):
     return v.f_resp.select("resp_id", tk.token_length(padded, "<|pad|>").alias("n_tokens"))
 
 
-@query("j18_sequence_masking")
+_SQL_MASKED = "CAST(greatest(round_even({n} * (0.1e0 + (resp_id % 8) / 10.0e0), 0), 1) AS INT)"
+
+
+@query(
+    "j18_sequence_masking",
+    f"""WITH {_SQL_TOK}, m AS (SELECT *, row_number() OVER (PARTITION BY resp_id ORDER BY md5(concat('5:', CAST(resp_id AS VARCHAR), ':', CAST(pos AS VARCHAR))))
+        <= {_SQL_MASKED.format(n=20)} AS hit FROM t)
+    SELECT resp_id, {_SQL_MASKED.format(n=20)} AS n_masked, {sql_bits('hit')} AS mask,
+      string_agg(CAST(CASE WHEN hit THEN {MASK} ELSE tok END AS VARCHAR), ',' ORDER BY pos) AS inputs,
+      string_agg(CAST(CASE WHEN hit THEN tok ELSE -100 END AS VARCHAR), ',' ORDER BY pos) AS labels FROM m GROUP BY resp_id""",
+)
 def sequence_masking(v):
     r = F.col("resp_id")
     ratio = 0.1 + (r % 8) / 10.0
     count = tr.masked_count(F.size("tokens"), ratio)
-    rows = v.f_tok.withColumn("mask", tr.scattered_mask(r, F.size("tokens"), count, seed=5))
+    rows = v.f_tok.withColumn("mask", tr.scattered_mask(r, F.size("tokens"), count, seed=5, draws=PORTABLE))
     return rows.select(
         "resp_id",
         count.alias("n_masked"),
@@ -255,12 +305,22 @@ def sequence_masking(v):
     )
 
 
-@query("j18_rectangle_masking")
+@query(
+    "j18_rectangle_masking",
+    f"""WITH c AS (SELECT resp_id, {_SQL_MASKED.format(n=16)} AS n FROM f_tok),
+      h AS (SELECT *, CAST(ceil(n / 4.0) AS INT) AS lo FROM c),
+      g AS (SELECT *, least(lo + {sql_pick(5, 'greatest(least(4, n), lo) - lo + 1', 'resp_id')}, 4) AS ht FROM h),
+      w AS (SELECT *, least(CAST(ceil(n / CAST(ht AS DOUBLE)) AS INT), 4) AS wd FROM g),
+      p AS (SELECT *, {sql_pick(6, '4 - ht + 1', 'resp_id')} AS y, {sql_pick(7, '4 - wd + 1', 'resp_id')} AS x FROM w),
+      m AS (SELECT p.*, pos, pos // 4 >= y AND pos // 4 < y + ht AND pos % 4 >= x AND pos % 4 < x + wd AS hit FROM p, LATERAL (SELECT unnest(range(0, 16)) AS pos) q)
+    SELECT resp_id, n AS n_masked, {sql_bits('hit')} AS mask,
+      round(sum(CASE WHEN hit THEN 1.0e0 ELSE 1.0e0 - (1.0e0 - (0.1e0 + (resp_id % 8) / 10.0e0)) * 0.7e0 END), 9) AS weight FROM m GROUP BY resp_id, n""",
+)
 def rectangle_masking(v):
     r = F.col("resp_id")
     grid = F.slice("tokens", 1, 16)
     count = tr.masked_count(F.size(grid), 0.1 + (r % 8) / 10.0)
-    rows = v.f_tok.withColumn("mask", tr.rectangle_mask(r, F.size(grid), count, seed=5))
+    rows = v.f_tok.withColumn("mask", tr.rectangle_mask(r, F.size(grid), count, seed=5, draws=PORTABLE))
     weights = tr.loss_weights(F.col("mask"), 0.1 + (r % 8) / 10.0)
     return rows.select(
         "resp_id", count.alias("n_masked"), bits("mask").alias("mask"),
@@ -285,9 +345,7 @@ def commit_rule(v):
     )
 
 
-# The random variants draw from a hash the checking engine lacks, so their
-# masks are compared with brute force in the tests. What must hold for any
-# draw is checked on all rows here.
+# What must hold for any draw, checked on all rows with the default hash.
 _BLOCKS = "CAST(ceil(len(step_map) / 4.0) AS INT)"
 
 
