@@ -55,7 +55,7 @@ def same_stripped(out: Column, expected: Column) -> Column:
 
 
 def _integers(values: Column) -> Column:
-    return F.forall(values, lambda v: F.regexp_like(tx.strip(v), F.lit(r"\A[+-]?[0-9]+(?:_[0-9]+)*\z")))
+    return F.forall(values, lambda v: F.regexp_like(tx.strip(v), F.lit(r"\A[+-]?[0-9]++(?:_[0-9]++)*+\z")))
 
 
 def tolerant_output(out: Column, expected: Column, token_sets: bool = False) -> Column:

@@ -37,10 +37,11 @@ def normal_form(c: Column) -> Column:
     out = tx.sub_all(
         out,
         [
-            (r"([^\n]*?)\$([^\n]*?)\$([^\n]*)", r"\$$2\$"),
-            (r"\\text\{([^\n]*?)\}", "$1"),
-            (r"\\textbf\{([^\n]*?)\}", "$1"),
-            (r"\\overline\{([^\n]*?)\}", "$1"),
+            # a line with two dollar signs keeps what stands between them
+            (r"(?md)^[^\n$]*+\$([^\n$]*+)\$[^\n]*+", r"\$$1\$"),
+            (r"\\text\{([^\n}]*+)\}", "$1"),
+            (r"\\textbf\{([^\n}]*+)\}", "$1"),
+            (r"\\overline\{([^\n}]*+)\}", "$1"),
             (r"\\boxed\{([^\n]*)\}", "$1"),
             (r"frac([^{])([^\n])", "frac{$1}{$2}"),
             (r"sqrt([^{])", "sqrt{$1}"),
@@ -109,8 +110,9 @@ def _braced_fractions(parts: Column) -> Column:
 def number_value(c: Column) -> Column:
     """The value of text that reads as a float, else NULL."""
     plain = tx.strip(c)
-    digits = r"(?:[0-9]+(?:_[0-9]+)*)"
-    shape = rf"\A[+-]?(?:{digits}\.?{digits}?|\.{digits})(?:[eE][+-]?{digits})?\z"
+    # possessive, so that long digits that do not end in a number fail at once
+    digits = r"[0-9]++(?:_[0-9]++)*+"
+    shape = rf"\A[+-]?(?:{digits}(?:\.(?:{digits})?)?|\.{digits})(?:[eE][+-]?{digits})?\z"
     sign = F.when(F.startswith(plain, F.lit("-")), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
     return (
         F.when(F.regexp_like(plain, F.lit(shape)), F.replace(plain, F.lit("_"), F.lit("")).try_cast("double"))

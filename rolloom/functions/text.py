@@ -98,6 +98,23 @@ def last_word_letter(c: Column, letters: str) -> Column:
     return nullif_empty(F.regexp_extract(c, pattern, 1))
 
 
+def last_between(c: Column, opening: str, closing: str) -> Column:
+    """Text of the last ``opening ... closing`` pair, NULL if there is none.
+
+    Cut at the closing marks, each piece but the last ends a pair if it holds
+    an opening mark; the pair begins at the first one. Unlike a lazy pattern
+    this reads a text with many unclosed marks only once.
+    """
+
+    def pick(pieces: Column) -> Column:
+        ended = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
+        last = F.try_element_at(F.filter(ended, lambda p: F.contains(p, F.lit(opening))), F.lit(-1))
+        return let(last, lambda p: after_first(p, opening))
+
+    quoted_mark = "\\Q" + closing + "\\E"
+    return let(F.when(F.contains(c, F.lit(closing)), F.split(c, quoted_mark, -1)), pick)
+
+
 def replace_all(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     """Literal replacements, one after the other."""
     return reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), pairs, c)
