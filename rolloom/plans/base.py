@@ -36,7 +36,7 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     A large table has more splits than cores and is left as it is.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() * 4 <= cores else rows
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() * 2 <= cores else rows
 
 
 # Schemas already read from file footers, by path.
