@@ -105,6 +105,12 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     return held.join(found, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "n_shared", "n_item")
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs`` without the documents that hold an item."""
+    leaky = stage(contained(docs, items).select(F.col("doc_id").alias("_llm_id")).distinct(), "leaky")
+    return docs.join(leaky, docs["doc_id"].cast("long") == F.col("_llm_id"), "left_anti")
+
+
 # Exact containment in SQL; the operator must agree with it.
 SQL = """
 WITH dw AS (

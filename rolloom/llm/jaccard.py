@@ -89,7 +89,7 @@ def sums_before_words(hashes: np.ndarray) -> np.ndarray:
 
 def _signatures(batches):
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, marks, texts = batch.column(0), batch.column(1), batch.column(2)
         for first, keys, count, found, of in text_shingles(texts):
             at, owners = segments(of)
             if not len(owners):
@@ -100,9 +100,10 @@ def _signatures(batches):
                 sig[:, k] = (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
             values = pa.array(sig.ravel())
             offsets = pa.array(np.arange(len(owners) + 1, dtype=np.int32) * COORDINATES)
+            at = pa.array(owners + first)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(owners + first)), pa.array(signed(keys[owners])), pa.ListArray.from_arrays(offsets, values)],
-                ["doc_id", "k", "sig"],
+                [ids.take(at), marks.take(at), pa.array(signed(keys[owners])), pa.ListArray.from_arrays(offsets, values)],
+                ["doc_id", "t", "k", "sig"],
             )
 
 
@@ -255,6 +256,40 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def classes(docs: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+    """Per row with words: ``doc_id, t`` (hash of the text), the class and its first row.
+
+    ``first`` is the smallest (doc_id, t) of the class; see near_duplicates.
+    """
+    session(docs)
+    docs = docs.where(F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text")
+    )
+    known = stage(docs.mapInArrow(_signatures, "doc_id long, t long, k long, sig array<int>"), "signatures")
+    texts = known.groupBy("k").agg(
+        F.min(F.struct("doc_id", "t")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig")
+    )
+    texts = stage(texts, "texts")
+    groups = components(proposals(texts, runs, leaf, depth), "proposed")
+    members = stage(groups.join(texts.select(F.col("k").alias("id"), "first", "copies"), "id"), "members")
+    wanted = members.select("first.*", F.col("id").alias("k"))
+    sets = docs.join(wanted, ["doc_id", "t"]).select("doc_id", "k", "text").mapInArrow(_sets, "k long, shingles array<long>")
+    sets = sets.dropDuplicates(["k"])
+    dealt = tasks(members.select("id", "comp", "copies"), block).withColumnRenamed("id", "k")
+    pieces = dealt.join(sets, "k").repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "k")
+    pieces = pieces.select("comp", "lo", "hi", "block", "copies", "k", "shingles")
+    exact = stage(pieces.mapInArrow(_exact, "k long, links long, root long"), "exact")
+    linked = exact.groupBy("k").agg(F.sum("links").alias("links"))
+    joined = components(exact.select(F.col("k").alias("u"), F.col("root").alias("v")), "classes")
+    joined = joined.select(F.col("id").alias("k"), "comp").join(linked, "k")
+    named = texts.select("k", F.col("first").alias("copy"), "copies").join(joined, "k", "left")
+    named = stage(named.withColumn("comp", F.coalesce("comp", "k")), "named")
+    first = named.groupBy("comp").agg(F.min("copy").alias("first"))
+    links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    named = named.join(first, "comp").select("k", F.col("copy.doc_id").alias("copy_id"), "first", links)
+    return known.select("doc_id", "t", "k").join(named, "k").select("doc_id", "t", "first", "copy_id", "n_links")
+
+
 def near_duplicates(docs: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: class_id, copy_id, n_links.
 
@@ -265,38 +300,35 @@ def near_duplicates(docs: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth:
     other links brings its ends together.
 
     Rows with a null id are not returned. A null, empty or wordless text has no
-    links and is its own class; a text of one to four words has one shingle.
-    Repeated ids are rows of their own and share the smallest class of their
-    texts' groups only through the texts. Other columns are ignored; an empty
-    table gives an empty result.
+    links and is its own class; a text of one to four words has one shingle,
+    all its words. Rows that repeat an id are rows of their own, linked by
+    their texts alone. Other columns are ignored; an empty table gives an empty
+    result.
     """
-    session(docs)
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed_docs = stage(docs.mapInArrow(_signatures, "doc_id long, k long, sig array<int>"), "signatures")
-    texts = stage(
-        signed_docs.groupBy("k").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("sig").alias("sig")),
-        "texts",
-    )
-    groups = stage(components(proposals(texts, runs, leaf, depth), "proposed"), "proposed")
-    members = groups.select(F.col("id"), "comp").join(texts.select(F.col("k").alias("id"), "copy_id", "copies"), "id")
-    members = stage(members, "members")
-    wanted = members.select(F.col("copy_id").alias("doc_id"), F.col("id").alias("k"))
-    sets = docs.join(wanted, "doc_id").select("doc_id", "k", "text").mapInArrow(_sets, "k long, shingles array<long>")
-    sets = sets.dropDuplicates(["k"])
-    dealt = tasks(members.select("id", "comp", "copies"), block).select("comp", "lo", "hi", "block", "copies", F.col("id").alias("k"))
-    pieces = dealt.join(sets, "k").repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "k")
-    pieces = pieces.select("comp", "lo", "hi", "block", "copies", "k", "shingles")
-    exact = stage(pieces.mapInArrow(_exact, "k long, links long, root long"), "exact")
-    linked = exact.groupBy("k").agg(F.sum("links").alias("links"))
-    classes = components(exact.select(F.col("k").alias("u"), F.col("root").alias("v")), "classes")
-    classes = classes.select(F.col("id").alias("k"), "comp").join(linked, "k")
-    named = texts.select("k", "copy_id", "copies").join(classes, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
-    named = stage(named, "named")
-    least = named.groupBy("comp").agg(F.min("copy_id").alias("class_id"))
-    named = named.join(least, "comp").select(
-        "k", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
-    out = signed_docs.select("doc_id", "k").join(named, "k").select("doc_id", "class_id", "copy_id", "n_links")
-    wordless = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike("[a-zA-Z0-9\\x{80}-\\x{10FFFF}]"))
-    alone = wordless.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    found = classes(docs, runs, leaf, depth, block)
+    out = found.select("doc_id", F.col("first.doc_id").alias("class_id"), "copy_id", "n_links")
+    blank = docs.where(F.col("doc_id").isNotNull() & ~has_words(F.col("text"))).select(F.col("doc_id").cast("long").alias("doc_id"))
+    alone = blank.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionAll(alone)
+
+
+def has_words(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit("")).rlike("[a-zA-Z0-9\\x{80}-\\x{10FFFF}]")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with the first row of every class; rows without id or words stay.
+
+    Of rows that repeat both id and text one stays.
+    """
+    found = stage(classes(docs).select("doc_id", "t", "first"), "found")
+    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
+    names = [F.col("doc_id").alias("_llm_id"), F.col("t").alias("_llm_t")]
+    gone = stage(found.where(~own).select(*names).distinct(), "gone")
+    again = stage(found.where(own).groupBy("doc_id", "t").agg(F.count("*").alias("n")).where("n > 1").select(*names), "again")
+    this = (docs["doc_id"].cast("long") == F.col("_llm_id")) & (F.xxhash64(docs["text"]) == F.col("_llm_t"))
+    left = docs.join(gone, this, "left_anti")
+    if again.isEmpty():
+        return left
+    this = (left["doc_id"].cast("long") == F.col("_llm_id")) & (F.xxhash64(left["text"]) == F.col("_llm_t"))
+    return left.join(again, this, "left_anti").unionAll(left.join(again, this, "left_semi").dropDuplicates(["doc_id", "text"]))

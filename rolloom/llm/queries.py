@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloom.llm import contamination, jaccard, mixing
+from rolloom.llm import contamination, jaccard, lines, mixing, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,7 +23,21 @@ def op8_hierarchical_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"))
 
 
-QUERIES = [op2_ngram_jaccard_join, op5_benchmark_containment, op8_hierarchical_mixture]
+def op9_fuzzy_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.report(table(spark, folder, "documents"))
+
+
+def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.resampled(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES = [
+    op2_ngram_jaccard_join,
+    op5_benchmark_containment,
+    op8_hierarchical_mixture,
+    op9_fuzzy_line_dedup,
+    op10_importance_resampling,
+]
 ORACLES = {"op5_benchmark_containment": contamination.SQL, "op8_hierarchical_mixture": mixing.SQL}
 
 
