@@ -4,21 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloom.llm import contamination, jaccard, lines, mixing, quality
+from rolloom.llm import contamination, jaccard, lines, mixing, neighbours, pii, quality, secrets, suffixes, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_ownership_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secrets(table(spark, folder, "documents"))
+
+
+def op4_ftrl_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_benchmark_containment(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_suffix_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.passages(table(spark, folder, "documents"))
+
+
+def op7_boosted_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 def op8_hierarchical_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"))
 
@@ -32,8 +52,13 @@ def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = [
+    op1_permutation_index,
     op2_ngram_jaccard_join,
+    op3_ownership_secrets,
+    op4_ftrl_toxicity,
     op5_benchmark_containment,
+    op6_suffix_passages,
+    op7_boosted_pii,
     op8_hierarchical_mixture,
     op9_fuzzy_line_dedup,
     op10_importance_resampling,
