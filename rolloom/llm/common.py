@@ -24,9 +24,21 @@ CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+# Joins of whole texts with a few wanted ones: Spark builds a Bloom filter of
+# bounded size from the wanted side and drops other texts before the shuffle.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "64m",
+    "spark.sql.optimizer.runtimeFilter.number.threshold": "2",
+}
+
+
 def session(rows: DataFrame) -> SparkSession:
     spark = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     return spark
 
 

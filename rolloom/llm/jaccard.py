@@ -48,7 +48,7 @@ RUNS = 8
 # Splits before a node is looked at. A pair at the threshold survives three in
 # 64 of 100 runs and so is lost by eight runs in 3 of 10,000 cases.
 FIRST = 3
-LEAF = 64
+LEAF = 256
 DEPTH = 8
 BLOCK = 512
 
@@ -225,7 +225,7 @@ def proposals(texts: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int =
     for _ in range(depth):
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         sized = stage(nodes.join(sizes.where("lo < hi").select("node", "n"), "node"), "nodes")
-        found.append(_leaf_links(sized.where(F.col("n") <= leaf).select("node", "k"), texts))
+        found.append(stage(_leaf_links(sized.where(F.col("n") <= leaf).select("node", "k"), texts), "leaf_links"))
         large = sized.where(F.col("n") > leaf).drop("n")
         if large.isEmpty():
             return _union(found)
@@ -271,7 +271,8 @@ def classes(docs: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DE
     texts = stage(texts, "texts")
     groups = components(proposals(texts, runs, leaf, depth), "proposed")
     members = stage(groups.join(texts.select(F.col("k").alias("id"), "first", "copies"), "id"), "members")
-    wanted = members.select("first.*", F.col("id").alias("k"))
+    # copies are at least 1: a filter lets Spark build a Bloom filter from it
+    wanted = members.where("copies > 0").select("first.*", F.col("id").alias("k"))
     sets = docs.join(wanted, ["doc_id", "t"]).select("doc_id", "k", "text").mapInArrow(_sets, "k long, shingles array<long>")
     sets = sets.dropDuplicates(["k"])
     dealt = tasks(members.select("id", "comp", "copies"), block).withColumnRenamed("id", "k")

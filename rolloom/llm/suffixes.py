@@ -287,6 +287,8 @@ def repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     mixed = hits.where("mixed").groupBy("v", "c").agg(F.count("*").alias("n"), F.min_by("at", F.struct("t", "at")).alias("at"), F.min("t").alias("t"))
     mixed = stage(mixed, "mixed")
     wanted = mixed.groupBy("t").agg(F.collect_list(F.struct("v", "c", "at")).alias("wanted"))
+    # the filter lets Spark build a Bloom filter from the written table
+    wanted = stage(wanted, "wanted").where(F.size("wanted") > 0)
     contexts = rows.join(wanted, "t").select("wanted", "text").mapInArrow(_contexts, "v long, c long, off int, run int, ctx binary")
     contexts = stage(contexts.dropDuplicates(["v", "c"]), "contexts")
     ready = contexts.select(F.col("v").alias("key"), "*", F.lit(0).alias("lo"), F.lit(LENGTH).alias("hi"), F.lit(False).alias("twin"))
