@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloom.session import work_dir
+from rolloom.session import ship, work_dir
 
 # Rows of one Arrow batch: a batch of long texts must fit a Python worker.
 BATCH_ROWS = 256
@@ -37,6 +37,7 @@ SETTINGS = {
 
 def session(rows: DataFrame) -> SparkSession:
     spark = rows.sparkSession
+    ship(spark)
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
