@@ -63,16 +63,13 @@ def fixed(c: Column, places: int) -> Column:
 
 
 def results_table(results: DataFrame) -> DataFrame:
-    """One line per dataset: accuracy, length and tokens per step as text."""
-    metric = F.explode(
-        F.array(
-            F.struct(F.lit("acc").alias("name"), fixed(F.col("acc"), 4).alias("value")),
-            F.struct(F.lit("avg_len").alias("name"), fixed(F.col("avg_len"), 1).alias("value")),
-            F.struct(F.lit("tok_per_step").alias("name"), fixed(F.col("tok_per_step"), 3).alias("value")),
-        )
+    """One line per result: dataset, accuracy, length and tokens per step as text."""
+    return results.select(
+        "dataset",
+        fixed(F.col("acc"), 4).alias("acc"),
+        fixed(F.col("avg_len"), 1).alias("avg_len"),
+        fixed(F.col("tok_per_step"), 3).alias("tok_per_step"),
     )
-    long = results.select("dataset", metric.alias("m")).select("dataset", "m.name", "m.value")
-    return long.groupBy("dataset").pivot("name", ["acc", "avg_len", "tok_per_step"]).agg(F.max("value"))
 
 
 def valid_checkpoint(has_config: Column, has_weights: Column, has_adapter: Column) -> Column:

@@ -136,12 +136,10 @@ def scheduled_threshold(
     return F.when(step <= hold, F.lit(float(start))).otherwise(moved)
 
 
-def changes(rows: DataFrame, value: str) -> DataFrame:
-    """Rows whose value differs from the step before (the first one counts).
+def changes(rows: DataFrame, schedule, name: str) -> DataFrame:
+    """Rows at whose step ``schedule(step)`` differs from the step before.
 
-    Steps of a run are numbered without gaps, so the neighbour is found by
-    its number: an equi-join that spreads one run over all tasks.
+    A schedule is a function of the step, so both values come from one row.
     """
-    before = rows.select("run", (F.col("step") + 1).alias("step"), F.col(value).alias("_before"))
-    joined = rows.join(before, ["run", "step"], "left")
-    return joined.filter(F.col("_before").isNull() | (F.col(value) != F.col("_before"))).drop("_before")
+    step = F.col("step")
+    return rows.select("run", "step", schedule(step).alias(name)).filter(schedule(step) != schedule(step - 1))

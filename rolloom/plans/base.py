@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rolloom.plans.fixtures import FIXTURES
+from rolloom.session import ship
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -15,30 +16,6 @@ TABLES = (
 ).split()
 
 
-# Views whose operators are bound by the work per row, with the column that
-# spreads them.
-SPREAD = {
-    "f_resp": "resp_id",
-    "f_mix": "id",
-    "f_step": "resp_id",
-    "f_tok": "resp_id",
-    "f_verd": "test_idx",
-    "f_cf": "id",
-    "f_cf_tests": "ord",
-    "f_date": "id",
-    "documents": "doc_id",
-}
-
-
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Use all cores where the files have far fewer splits than there are cores.
-
-    A large table has more splits than cores and is left as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() * 2 <= cores else rows
-
-
 # Schemas already read from file footers, by path.
 _SCHEMAS: dict = {}
 
@@ -65,11 +42,10 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in FIXTURES:
             raise AttributeError(name)
-        rows = self.sql(FIXTURES[name][0])
-        return spread(rows, SPREAD[name]) if name in SPREAD else rows
+        return self.sql(FIXTURES[name][0])
 
     def documents(self) -> DataFrame:
-        return spread(self.table("documents"), SPREAD["documents"])
+        return self.table("documents")
 
 
 _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
@@ -107,7 +83,11 @@ def with_fixtures(text: str) -> str:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
-        return lambda spark, folder: fn(Inputs(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return fn(Inputs(spark, folder))
+
+        return run
 
     return {name: bind(fn) for name, fn in _QUERIES.items()}
 

@@ -126,13 +126,13 @@ def scheduled_caps(v):
 
 @query(
     "h09_schedule_changes",
-    f"""SELECT run, step, budget FROM (SELECT *, lag(budget) OVER (PARTITION BY run ORDER BY step) AS b, lag(step) OVER (PARTITION BY run ORDER BY step) AS s
-        FROM (SELECT run, step, {_sql_budget('linear')} AS budget FROM ({_SQL_TOTALS}) t) x) y WHERE b IS NULL OR s <> step - 1 OR b <> budget""",
+    f"""SELECT x.run, x.step, x.budget FROM (SELECT run, step, {_sql_budget('linear')} AS budget FROM ({_SQL_TOTALS}) t) x
+        JOIN (SELECT run, step + 1 AS step, {_sql_budget('linear')} AS budget FROM (SELECT run, step - 1 AS step FROM ({_SQL_TOTALS}) t) u) y
+        ON x.run = y.run AND x.step = y.step WHERE x.budget <> y.budget""",
 )
 def schedule_changes(v):
     steps = sc.step_totals(v.f_ledg, ["rollout_tokens"])
-    rows = steps.select("run", "step", sc.scheduled_budget(F.col("step"), 100, 2000, 100, "linear").alias("budget"))
-    return sc.changes(rows, "budget")
+    return sc.changes(steps, lambda step: sc.scheduled_budget(step, 100, 2000, 100, "linear"), "budget")
 
 
 @query(

@@ -244,30 +244,40 @@ def tolerant_output(v):
     )
 
 
-@query(
-    "e12_same_return",
-    """SELECT event_id, CASE CAST(event_id % 6 AS INT) WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true
-         WHEN 3 THEN user_id = 7 WHEN 4 THEN true ELSE false END AS correct FROM events""",
-)
-def same_return(v):
-    k = F.col("event_id") % 6
+def _returns():
+    """Recorded and expected values of seven kinds, by event."""
+    k = F.col("event_id") % 7
     n = F.col("user_id").cast("string")
     out = (
         F.when(k == 0, F.concat(F.lit("["), n, F.lit(", 2]")))
-        .when(k == 1, n)
         .when(k == 2, F.concat(F.lit('{"a": '), n, F.lit(', "b": [1]}')))
-        .when(k == 3, n)
         .when(k == 4, F.concat(n, F.lit(".0")))
-        .otherwise(F.lit("not json"))
+        .when(k == 5, F.lit("not json"))
+        .otherwise(n)
     )
     expected = (
         F.when(k == 0, F.concat(F.lit("["), n, F.lit(",2]")))
         .when(k == 1, F.concat(F.lit("["), n, F.lit("]")))
         .when(k == 2, F.concat(F.lit('{"b":[1], "a":'), n, F.lit("}")))
         .when(k == 3, F.lit("[7]"))
+        .when(k == 6, F.concat(F.lit("["), n, F.lit(", 2, 3]")))
         .otherwise(n)
     )
-    return v.table("events").select("event_id", ck.same_return(out, expected).alias("correct"))
+    return out, expected
+
+
+_SQL_RETURNS = """SELECT event_id, CASE CAST(event_id % 7 AS INT) WHEN 3 THEN user_id = 7 WHEN 5 THEN false WHEN 6 THEN {longer}
+         ELSE true END AS correct FROM events"""
+
+
+@query("e12_same_return", _SQL_RETURNS.format(longer="false"))
+def same_return(v):
+    return v.table("events").select("event_id", ck.same_return(*_returns()).alias("correct"))
+
+
+@query("e12_same_return_any_first", _SQL_RETURNS.format(longer="true"))
+def same_return_any_first(v):
+    return v.table("events").select("event_id", ck.same_return(*_returns(), any_first=True).alias("correct"))
 
 
 _SQL_STATUS = """SELECT sample_id AS task_id, resp_idx, min(CASE WHEN passed THEN 'pass' ELSE 'fail' END) AS base_status,

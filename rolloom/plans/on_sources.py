@@ -26,14 +26,20 @@ def json_arrays(v):
     return fs.read_json_arrays(v.spark, path, _DOC).select("doc_id", "text", "lang")
 
 
-@query("a02_read_json_lines", "SELECT doc_id, text, lang FROM documents WHERE doc_id % 10 <> 3")
+@query(
+    "a02_read_json_lines",
+    """SELECT CASE WHEN ok THEN doc_id END AS doc_id, CASE WHEN ok THEN text END AS text, CASE WHEN ok THEN lang END AS lang,
+        CASE WHEN NOT ok THEN 20 END::INT AS bad_length FROM (SELECT *, doc_id % 10 <> 3 AS ok FROM documents) d""",
+)
 def json_lines(v):
     path = work_dir(v.spark, "lines")
     record = F.to_json(F.struct("doc_id", "text", "lang"))
     broken = F.when(F.col("doc_id") % 10 == 3, F.substring(record, 1, 20)).otherwise(record)
     # a blank line after every record
     v.table("documents").select(F.explode(F.array(broken, F.lit(""), F.lit("  "))).alias("value")).write.text(path)
-    return fs.read_json_lines(v.spark, path, _DOC)
+    rows = fs.read_json_lines(v.spark, path, _DOC, keep_bad=True)
+    good = F.col(fs.CORRUPT).isNull()
+    return rows.select(*[F.when(good, F.col(c)).alias(c) for c in ("doc_id", "text", "lang")], F.length(fs.CORRUPT).alias("bad_length"))
 
 
 @query("a03_read_parquet_mix", "SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2")

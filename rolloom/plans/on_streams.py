@@ -64,5 +64,5 @@ def idempotent_ingest(v):
     for part in (F.lit(True), again):
         rows.filter(part).write.mode("append").json(inbox)
         stream = jobs.new_files(v.spark, inbox, schema)
-        jobs.append_distinct(stream, ["sample_id", "resp_idx"], "ingested", "10 minutes", sink, state)
+        jobs.append_distinct(stream, ["sample_id", "resp_idx"], sink, state)
     return v.spark.read.parquet(sink).select("sample_id", "resp_idx", "n_tokens")

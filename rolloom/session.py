@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -41,10 +44,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder every executor can reach.
 
-    A cluster names that folder in ``spark.checkpoint.dir``. Only where the
-    setting is missing (tests on one machine) a temporary folder stands in.
+    A cluster names that folder in ``spark.checkpoint.dir``. Where the setting
+    is missing, a temporary folder stands in on one machine, and a cluster is an
+    error: its executors would write to disks that others cannot read.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder; the master is {master}")
         base = tempfile.mkdtemp(prefix="rolloom-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, once for each application."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="rolloom-"), "rolloom.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    whole = os.path.join(folder, name)
+                    archive.write(whole, os.path.relpath(whole, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(application)

@@ -15,22 +15,20 @@ def read_json_arrays(spark: SparkSession, paths, schema: str) -> DataFrame:
     Such a file cannot be split, so it is one task: convert a large set to
     Parquet once (``to_parquet``) and read that from then on.
     """
-    return spark.read.schema(schema).option("multiLine", True).json(paths)
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(paths)
 
 
 def read_json_lines(spark: SparkSession, paths, schema: str, keep_bad: bool = False) -> DataFrame:
     """Shards of JSON lines; blank lines are skipped.
 
-    Lines that do not parse are dropped, or kept whole in ``_bad``.
+    A line that does not parse fails the read. With ``keep_bad`` all rows are
+    returned and such a line stands whole in ``_bad``.
     """
+    if not keep_bad:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
     full = T.StructType.fromDDL(schema).add(CORRUPT, T.StringType())
-    rows = (
-        spark.read.schema(full)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(paths)
-    )
-    return rows if keep_bad else rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    reader = spark.read.schema(full).option("mode", "PERMISSIVE")
+    return reader.option("columnNameOfCorruptRecord", CORRUPT).json(paths)
 
 
 def read_parquet(spark: SparkSession, paths) -> DataFrame:

@@ -62,19 +62,25 @@ def latest_totals(spark: SparkSession, sink: str, key: str, values: list[str]) -
     return newest.select(key, *[F.col(f"t.{v}").alias(v) for v in values])
 
 
-def append_distinct(
-    stream: DataFrame, ids: list[str], event_time: str, delay: str, sink: str, checkpoint: str
-) -> None:
-    """Rows whose ids were not seen within the delay; repeats are dropped.
+def append_distinct(stream: DataFrame, ids: list[str], sink: str, checkpoint: str) -> None:
+    """Rows whose ids the sink does not hold yet, however late they come.
 
-    The watermark lets old ids leave the state, which would otherwise grow
-    with all rows ever read.
+    A repeat is recognised by its ids alone, so a new row with an old time stamp
+    is kept and a repeat with a new one is dropped. Every batch has a folder of
+    its own that a replay overwrites, and is compared with earlier batches only.
     """
-    distinct = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(ids)
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates(ids)
+        if number:
+            earlier = batch.sparkSession.read.parquet(sink).where(F.col("batch") < number)
+            fresh = fresh.join(earlier.select(*ids), ids, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
     query = (
-        distinct.writeStream.format("parquet")
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(sink)
+        .start()
     )
     query.awaitTermination()

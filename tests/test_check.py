@@ -100,9 +100,11 @@ def test_outputs(apply):
 def test_returns(apply):
     rows = [
         ("[1, 2]", "[1,2]"), ("3", "[3]"), ('{"b": 1, "a": 2}', '{"a":2,"b":1}'), ("1.0", "1"), ("1", "2"),
-        ("x", "x"), ("[1]", "[[1], 5]"), ('"a"', '["a"]'),
+        ("x", "x"), ("[1]", "[[1], 5]"), ('"a"', '["a"]'), ("1", "[1, 2, 3]"), ("[1]", "[[1]]"),
     ]
-    assert apply(ck.same_return(A, B), rows, AB) == [True, True, True, True, False, False, True, True]
+    assert apply(ck.same_return(A, B), rows, AB) == [True, True, True, True, False, False, False, True, False, False]
+    first = [True, True, True, True, False, False, True, True, True, True]
+    assert apply(ck.same_return(A, B, any_first=True), rows, AB) == first
 
 
 def test_dispatch_never_null(apply):

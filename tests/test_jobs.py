@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from rolloom.operators import metrics as mt
 from rolloom.operators import prompts as pm
 from rolloom.operators import reshape as rs
 from rolloom.operators import rewards as rw
+from rolloom.operators import schedule as sc
 from rolloom.sources import config as cf
 from rolloom.sources import files as fs
 from rolloom.streaming import jobs
@@ -26,7 +29,9 @@ def test_json_arrays_and_lines(spark, tmp_path):
     rows = fs.read_json_arrays(spark, str(tmp_path / "a.json"), "id int, t string")
     assert sorted((r.id, r.t) for r in rows.collect()) == [(1, "x\ny"), (2, None)]
     (tmp_path / "l.jsonl").write_text('{"id": 1}\n\n   \n{"id": \n{"id": 3}\n')
-    good = fs.read_json_lines(spark, str(tmp_path / "l.jsonl"), "id int")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        fs.read_json_lines(spark, str(tmp_path / "l.jsonl"), "id int").collect()
+    good = fs.read_json_lines(spark, str(tmp_path / "l.jsonl"), "id int", keep_bad=True).filter("_bad IS NULL").drop("_bad")
     assert sorted(r.id for r in good.collect()) == [1, 3]
     bad = fs.read_json_lines(spark, str(tmp_path / "l.jsonl"), "id int", keep_bad=True).filter("_bad IS NOT NULL")
     assert [r._bad.strip() for r in bad.collect()] == ['{"id":']
@@ -181,3 +186,39 @@ def test_result_does_not_depend_on_partitions(spark, data, name):
         results.append(sorted(map(repr, entry.queries()[name](spark, data).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1] == results[2]
+
+
+def test_late_and_repeated_deliveries(spark, tmp_path):
+    inbox, sink, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    schema = "id bigint, at string"
+    for rows in ([(1, "10:00")], [(2, "12:00")], [(3, "10:00"), (1, "12:30")], [(3, "10:00")]):
+        spark.createDataFrame(rows, schema).write.mode("append").json(inbox)
+        jobs.append_distinct(jobs.new_files(spark, inbox, schema), ["id"], sink, state)
+    kept = spark.read.parquet(sink).select("id", "at").collect()
+    assert sorted(map(tuple, kept)) == [(1, "10:00"), (2, "12:00"), (3, "10:00")]
+
+
+def test_results_stay_line_by_line(spark):
+    rows = spark.createDataFrame([("A", 0.5, 9.5, 1.0), ("A", 0.4, 10.5, 2.0)], "dataset string, acc double, avg_len double, tok_per_step double")
+    got = sorted(map(tuple, mt.results_table(rows).collect()))
+    assert got == [("A", "0.4000", "10.5", "2.000"), ("A", "0.5000", "9.5", "1.000")]
+
+
+def test_schedule_changes_over_gaps(spark):
+    rows = spark.createDataFrame([("r", 300), ("r", 301), ("r", 305)], "run string, step int")
+    assert sc.changes(rows, lambda step: F.least(step, F.lit(100)), "value").count() == 0
+    assert [r.step for r in sc.changes(rows, lambda step: F.floor(step / 5), "value").orderBy("step").collect()] == [300, 305]
+
+
+def test_python_steps_run_outside_the_folder(data, tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "import __spark_entry__ as e\n"
+        "from rolloom.session import local_session\n"
+        "s = local_session(2)\n"
+        f"print('rows', [e.queries()[q](s, {data!r}).count() for q in ('d17_json_answer', 'o03_batch_scoring')])\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows [" in out.stdout, out.stderr[-2000:]
