@@ -64,7 +64,8 @@ def rstrip_chars(c: Column, members: str) -> Column:
 
 
 def nullif_empty(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    """NULL for an empty text; a pattern inside ``c`` is matched once."""
+    return let(c, lambda v: F.when(v != "", v))
 
 
 def first_match(c: Column, pattern: str, group: int = 1) -> Column:

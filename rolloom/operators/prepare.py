@@ -125,9 +125,11 @@ def contest_tests(problems: DataFrame, tests: DataFrame) -> DataFrame:
     )
 
 
-def kept_per_split(problems: DataFrame, keep: Column) -> DataFrame:
-    """Kept and total number of rows of each split."""
-    return problems.groupBy("split").agg(F.count_if(keep).alias("kept"), F.count("*").alias("total"))
+def kept_per_split(problems: DataFrame, tests: DataFrame) -> DataFrame:
+    """Kept and total number of contest problems of each split."""
+    total = problems.groupBy("split").agg(F.count("*").alias("total"))
+    kept = keep_contest_problems(problems, tests).groupBy("split").agg(F.count("*").alias("kept"))
+    return total.join(kept, "split", "left").select("split", F.coalesce("kept", F.lit(0)).alias("kept"), "total")
 
 
 def row_cap(rows: DataFrame, per: str, order: Column, cap: int) -> DataFrame:

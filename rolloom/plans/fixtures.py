@@ -100,7 +100,7 @@ FROM part
 f_cf_tests = """
 SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS ord, concat(CAST(l_suppkey AS STRING), chr(13), chr(10)) AS input,
   CASE WHEN l_orderkey % 6 = 0 THEN NULL ELSE concat(CAST(l_linenumber AS STRING), chr(13)) END AS output
-FROM lineitem
+FROM lineitem WHERE l_partkey % 31 <> 0
 """
 
 f_date = """

@@ -88,12 +88,12 @@ def problem_statement(v):
 
 
 _SQL_KEEP = f"""input_mode = 'stdio' AND executable AND coalesce(interaction_format, '') = '' AND coalesce(generated_checker, '') = ''
-    AND {_sql_field('description')} <> ''"""
+    AND {_sql_field('description')} <> '' AND id IN (SELECT id FROM f_cf_tests)"""
 
 
 @query(
     "b05_keep_contest_problems",
-    f"SELECT id, title FROM f_cf WHERE {_SQL_KEEP} AND id IN (SELECT id FROM f_cf_tests)",
+    f"SELECT id, title FROM f_cf WHERE {_SQL_KEEP}",
 )
 def keep_problems(v):
     return pr.keep_contest_problems(v.f_cf, v.f_cf_tests).select("id", "title")
@@ -105,7 +105,7 @@ _SQL_DEADLINE = "CAST(greatest(1, ceil(coalesce(nullif(time_limit, 0), 1.0) * 3)
 @query(
     "b06_contest_tests",
     f"""SELECT t.id, t.ord, {_sql_lines('t.input')} AS input, {_sql_lines('t.output')} AS output, {_SQL_DEADLINE} AS deadline
-        FROM f_cf_tests t JOIN f_cf p ON p.id = t.id WHERE {_SQL_KEEP}""",
+        FROM f_cf_tests t JOIN (SELECT * FROM f_cf WHERE {_SQL_KEEP}) p ON p.id = t.id""",
 )
 def contest_tests(v):
     return pr.contest_tests(v.f_cf.filter(pr.scorable_contest_problem()), v.f_cf_tests)
@@ -117,7 +117,7 @@ def contest_tests(v):
         WHERE {_SQL_KEEP}""",
 )
 def contest_records(v):
-    return v.f_cf.filter(pr.scorable_contest_problem()).select(
+    return pr.keep_contest_problems(v.f_cf, v.f_cf_tests).select(
         F.col("id").alias("task_id"),
         _statement().alias("question"),
         pr.deadline(F.col("time_limit")).alias("test_time_limit"),
@@ -131,7 +131,7 @@ def contest_records(v):
     f"SELECT split, count(*) FILTER (WHERE {_SQL_KEEP}) AS kept, count(*) AS total FROM f_cf GROUP BY split",
 )
 def kept_per_split(v):
-    return pr.kept_per_split(v.f_cf, pr.scorable_contest_problem())
+    return pr.kept_per_split(v.f_cf, v.f_cf_tests)
 
 
 @F.pandas_udf(T.StringType())
