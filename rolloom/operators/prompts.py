@@ -275,11 +275,16 @@ def test_completion(content: Column, starter: Column, test_input: Column) -> Col
 
 
 def repair_note(code: Column, error: Column, inputs: Column, output: Column, expected: Column) -> Column:
-    """What went wrong, worded by error code; nothing without one."""
+    """What went wrong, worded by error code; nothing without a code.
+
+    Missing fields are empty; an unknown code fails the job.
+    """
     lead = "The above code is incorrect and got "
     lit = F.lit
+    error, inputs, output, expected = (F.coalesce(c, lit("")) for c in (error, inputs, output, expected))
     return (
-        F.when(code == -1, F.concat(lit(lead + "the following compilation error.\n"), error))
+        F.when(code.isNull(), "")
+        .when(code == -1, F.concat(lit(lead + "the following compilation error.\n"), error))
         .when(
             code == -2,
             F.concat(lit(lead + "a wrong answer.\nInput: "), inputs, lit("\nGenerated Output: "), output,
@@ -293,7 +298,7 @@ def repair_note(code: Column, error: Column, inputs: Column, output: Column, exp
             code == -4,
             F.concat(lit(lead + "a runtime error.\nInput: "), inputs, lit("\nExpected: "), expected, lit("\n"), error),
         )
-        .otherwise("")
+        .otherwise(F.raise_error(F.concat(lit("unknown error code "), code.cast("string"))))
     )
 
 
@@ -301,19 +306,16 @@ def repair_prompts(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Prompt that shows a candidate its first failing test.
 
     ``candidates`` has (sample_id, resp_idx, question, code); ``verdicts`` the
-    recorded tests. The first failure is a partial aggregate, so a candidate
-    with very many tests shuffles one row per task.
+    recorded tests with the ``error`` text of each. The first failure is a
+    partial aggregate, so a candidate with very many tests shuffles one row per
+    task.
     """
     keys = ["sample_id", "resp_idx"]
-    detail = F.struct("error_code", "inputs", "output", "expected")
+    detail = F.struct("error_code", "error", "inputs", "output", "expected")
     failing = (
         verdicts.filter(F.col("error_code").isNotNull()).groupBy(*keys).agg(F.min_by(detail, "test_idx").alias("v"))
     )
-    from rolloom.functions.check import error_name
-
-    note = repair_note(
-        F.col("v.error_code"), error_name(F.col("v.error_code")), F.col("v.inputs"), F.col("v.output"), F.col("v.expected")
-    )
+    note = repair_note(*[F.col(f"v.{c}") for c in ("error_code", "error", "inputs", "output", "expected")])
     prompt = F.concat(
         F.lit("### Question:\n"), F.col("question"), F.lit("\n\n### Answer:\n```python\n"), F.col("code"),
         F.lit("\n```\n\n"), note, F.lit(f"\n### Format: {FORMAT_STDIN}\n```python\n# YOUR CODE HERE\n```\n\n"),

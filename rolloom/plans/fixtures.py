@@ -124,7 +124,8 @@ SELECT user_id AS sample_id, CAST(event_id % 10 AS INT) AS resp_idx, CAST(floor(
   CASE CAST(user_id % 4 AS INT) WHEN 0 THEN 'siteA' WHEN 1 THEN 'siteB' WHEN 2 THEN 'siteC' END AS platform,
   concat(' ', CAST(event_id AS STRING), CASE WHEN event_id % 2 = 0 THEN '  ok' ELSE ' ok' END, chr(10)) AS output,
   concat(CAST(event_id + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS STRING), ' ok') AS expected,
-  props AS inputs, value AS score
+  props AS inputs, value AS score,
+  CASE WHEN event_type = 'error' AND event_id % 3 <> 0 THEN concat('line ', CAST(event_id % 40 AS STRING), ': recorded') END AS error
 FROM events
 """
 

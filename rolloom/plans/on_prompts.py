@@ -181,10 +181,10 @@ _LEAD = "'The above code is incorrect and got "
       cand AS (SELECT DISTINCT sample_id, resp_idx FROM f_verd)
     SELECT c.sample_id, c.resp_idx, concat('### Question:', chr(10), 'Task ', CAST(c.sample_id AS VARCHAR), chr(10), chr(10), '### Answer:', chr(10), '```python', chr(10),
       'print(', CAST(c.resp_idx AS VARCHAR), ')', chr(10), '```', chr(10), chr(10),
-      CASE b.error_code WHEN -1 THEN concat({_LEAD}the following compilation error.', chr(10), 'Compilation Error')
-        WHEN -2 THEN concat({_LEAD}a wrong answer.', chr(10), 'Input: ', b.inputs, chr(10), 'Generated Output: ', b.output, chr(10), 'Expected: ', b.expected)
-        WHEN -3 THEN concat({_LEAD}time limit exceeded.', chr(10), 'Time Limit Exceeded', chr(10), 'Input: ', b.inputs, chr(10), 'Expected: ', b.expected)
-        WHEN -4 THEN concat({_LEAD}a runtime error.', chr(10), 'Input: ', b.inputs, chr(10), 'Expected: ', b.expected, chr(10), 'Runtime Error') ELSE '' END,
+      CASE b.error_code WHEN -1 THEN concat({_LEAD}the following compilation error.', chr(10), coalesce(b.error, ''))
+        WHEN -2 THEN concat({_LEAD}a wrong answer.', chr(10), 'Input: ', coalesce(b.inputs, ''), chr(10), 'Generated Output: ', coalesce(b.output, ''), chr(10), 'Expected: ', coalesce(b.expected, ''))
+        WHEN -3 THEN concat({_LEAD}time limit exceeded.', chr(10), coalesce(b.error, ''), chr(10), 'Input: ', coalesce(b.inputs, ''), chr(10), 'Expected: ', coalesce(b.expected, ''))
+        WHEN -4 THEN concat({_LEAD}a runtime error.', chr(10), 'Input: ', coalesce(b.inputs, ''), chr(10), 'Expected: ', coalesce(b.expected, ''), chr(10), coalesce(b.error, '')) ELSE '' END,
       chr(10), {sql_text('### Format: ' + pm.FORMAT_STDIN)}, chr(10), '```python', chr(10), '# YOUR CODE HERE', chr(10), '```', chr(10), chr(10),
       {sql_text(pm.ANSWER_FORMAT)}) AS prompt
     FROM cand c LEFT JOIN bad b ON b.sample_id = c.sample_id AND b.resp_idx = c.resp_idx AND b.n = 1""",
