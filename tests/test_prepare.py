@@ -152,3 +152,14 @@ def test_required_datasets(spark):
     report = rg.verification(rg.registry_frame(spark), rows, "dataset", "bad")
     with pytest.raises(ValueError, match="GSM8K"):
         rg.require_complete(report)
+
+
+def test_repair_note_keeps_missing_fields_and_refuses_unknown_codes(spark):
+    schema = "code int, error string, inputs string, output string, expected string"
+    rows = spark.createDataFrame([(-2, None, None, "7", "8"), (None, "x", "1", "2", "3")], schema)
+    note = pm.repair_note(*[F.col(c) for c in rows.columns]).alias("note")
+    wrong, none = [r.note for r in rows.select(note).collect()]
+    assert wrong.endswith("a wrong answer.\nInput: \nGenerated Output: 7\nExpected: 8") and none == ""
+    strange = spark.createDataFrame([(-9, "x", "1", "2", "3")], schema)
+    with pytest.raises(Exception, match="unknown error code -9"):
+        strange.select(note).collect()
