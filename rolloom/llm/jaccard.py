@@ -150,6 +150,14 @@ def _leaf_links(leaves: DataFrame, texts: DataFrame) -> DataFrame:
     return packed.select("members").mapInArrow(_proposals, "u long, v long")
 
 
+def _closed(rows: DataFrame, leaf: int) -> DataFrame:
+    """Leaves ``(node, k)`` that compare the few members apart with all others."""
+    parts = F.ceil(F.col("met_n") / leaf).cast("int")
+    own = F.array(F.pmod(F.xxhash64("k", "node"), parts).cast("int"))
+    part = F.explode(F.when(F.col("met"), own).otherwise(F.sequence(F.lit(0), parts - 1))).alias("part")
+    return rows.select("node", "k", part).select(F.xxhash64("node", "part").alias("node"), "k")
+
+
 def _exact(batches):
     """Links of each text of a task, and its root among the linked ones.
 
@@ -212,39 +220,49 @@ def _sets(batches):
 def proposals(texts: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """Edges ``(u, v)`` between ``texts(k, sig)``: what they connect is compared.
 
-    Members of a large node that are LIKELY linked to its smallest member get
-    its label. A node whose members share one label is connected already and is
-    not split further; nor is a node with one member.
+    A large node compares its members with one of them, its centre, drawn by a
+    hash of node and member. Labels name what is connected: all labels that are
+    LIKELY linked to the centre become the centre's. A node whose members share
+    one label is connected already and is not split further; nor is a node with
+    one member, nor one in which at most ``leaf`` members are apart from the
+    centre: these are compared with all others, a part of them in each leaf.
     """
     root = F.explode(F.array(*[F.lit(r).cast("long") for r in range(runs)])).alias("node")
     rows = texts.select(root, "k", F.col("k").alias("label"), "sig")
     for _ in range(FIRST):
         rows = _children(rows)
     nodes = stage(rows.drop("sig"), "paths")
+    closing = nodes.select("node", "k").limit(0)
     found = []
     for _ in range(depth):
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         sized = stage(nodes.join(sizes.where("lo < hi").select("node", "n"), "node"), "nodes")
-        found.append(stage(_leaf_links(sized.where(F.col("n") <= leaf).select("node", "k"), texts), "leaf_links"))
+        leaves = sized.where(F.col("n") <= leaf).select("node", "k").unionAll(closing)
+        found.append(stage(_leaf_links(leaves, texts), "leaf_links"))
         large = sized.where(F.col("n") > leaf).drop("n")
         if large.isEmpty():
             return _union(found)
-        centre = large.groupBy("node").agg(F.min("k").alias("centre"))
+        # A member that is missed by one centre meets another one at the next level.
+        drawn = F.min(F.struct(F.xxhash64("node", "k"), F.col("k").alias("centre"), F.col("label").alias("middle"))).alias("c")
+        centre = large.groupBy("node").agg(drawn).select("node", "c.centre", "c.middle")
         centre = centre.join(texts.select(F.col("k").alias("centre"), F.col("sig").alias("other")), "centre")
         near = large.join(centre, "node").join(texts.select("k", "sig"), "k")
         agree = F.size(F.filter(F.zip_with("sig", "other", lambda a, b: a == b), lambda x: x)) / COORDINATES
-        likely = agree >= LIKELY
-        near = stage(near.select("node", "k", "centre", likely.alias("likely")), "centres")
+        near = stage(near.select("node", "k", "label", "centre", "middle", (agree >= LIKELY).alias("likely")), "centres")
         found.append(near.where(F.col("likely") & (F.col("k") != F.col("centre"))).select(F.col("centre").alias("u"), F.col("k").alias("v")).distinct())
-        labelled = near.withColumn("label", F.when(F.col("likely"), F.col("centre")).otherwise(F.col("k")))
-        mixed = labelled.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        rest = labelled.join(mixed.select("node"), "node", "left_semi").join(texts.select("k", "sig"), "k")
+        labels = near.groupBy("node", "label").agg(F.max("likely").alias("met"), F.min("middle").alias("middle"), F.count("*").alias("n"))
+        counts = labels.groupBy("node").agg(F.sum(F.when(F.col("met"), F.col("n"))).alias("met_n"), F.sum(F.when(~F.col("met"), F.col("n"))).alias("apart"))
+        labels = labels.drop("n").join(counts.where("apart > 0"), "node")
+        rest = near.select("node", "k", "label").join(labels, ["node", "label"])
+        rest = stage(rest.withColumn("label", F.when(F.col("met"), F.col("middle")).otherwise(F.col("label"))), "mixed")
+        closing = _closed(rest.where(F.col("apart") <= leaf), leaf)
+        rest = rest.where(F.col("apart") > leaf).select("node", "k", "label").join(texts.select("k", "sig"), "k")
         nodes = stage(_children(rest.select("node", "k", "label", "sig")).drop("sig"), "paths")
     # What is still large after the last level is compared in blocks.
     sizes = nodes.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node")
     left = nodes.join(sizes, "node", "left_semi").select(F.col("node").alias("comp"), F.col("k").alias("id"))
     blocks = tasks(left, leaf).select(F.xxhash64("comp", "lo", "hi").alias("node"), F.col("id").alias("k"))
-    found.append(_leaf_links(blocks, texts))
+    found.append(_leaf_links(blocks.unionAll(closing), texts))
     return _union(found)
 
 
