@@ -255,6 +255,24 @@ def test_fuzzy_lines(spark):
     assert {i for i, t in got.items() if t} == {i for i in range(30) if group[i] == i}
 
 
+def test_one_word_edits_are_found(spark):
+    """Edit similarity alone decides: one changed word of 8 to 60."""
+    r = random.Random(70)
+    rows, lost = [], []
+    for i in range(300):
+        w = prose(r.choice([8, 12, 20, 40, 60]), 1000 + i).split()
+        edited = list(w)
+        at = r.randrange(len(w))
+        edited[at] = edited[at][::-1] + "x"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(edited))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = {d.doc_id: d.text for d in lines.deduplicated(frame).collect()}
+    near = [i for i in range(300) if lines.similar(rows[2 * i][1], rows[2 * i + 1][1])]
+    lost = [i for i in near if left[2 * i + 1]]
+    assert len(near) > 250 and len(lost) <= 0.02 * len(near), (len(near), len(lost))
+    assert all(left[2 * i] for i in range(300)) and all(left[2 * i + 1] for i in set(range(300)) - set(near))
+
+
 def test_edit_distance():
     r = random.Random(6)
     for _ in range(300):
