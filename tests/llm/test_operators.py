@@ -273,6 +273,13 @@ def test_one_word_edits_are_found(spark):
     assert all(left[2 * i] for i in range(300)) and all(left[2 * i + 1] for i in set(range(300)) - set(near))
 
 
+def test_short_lines_lose_exact_copies(spark):
+    rows = [(1, "All rights reserved\none\n\nAll rights kept"), (2, "all RIGHTS reserved.\nnew\n\none"), (3, "one two three four\none two three fours")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {d.doc_id: d.text for d in lines.deduplicated(frame).collect()}
+    assert got == {1: rows[0][1], 2: "new\n", 3: rows[2][1]}
+
+
 def test_edit_distance():
     r = random.Random(6)
     for _ in range(300):
