@@ -6,7 +6,8 @@ coordinates from its own name, and hands each text to the child named by the
 coordinate and the text's value there: on average 1/0.8 children a text, so a
 pair at the threshold is expected to stay together in one path at any depth.
 Nodes of at most ``leaf`` texts are compared directly, larger ones are split
-again. Independent runs repeat this until the target recall.
+again. Every run draws from coordinates of its own, and there are as many runs
+as the target recall needs at the deepest level a run can reach.
 
 Leaves only propose. Texts that hang together through proposals are then
 compared pair by pair on their whole shingle sets, in bounded tasks; links and
@@ -18,6 +19,8 @@ again in the number of links.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,21 +46,43 @@ from rolloom.llm.components import components, tasks
 
 WORDS = 5
 THRESHOLD = 0.8
+# Coordinates that estimate similarity, and those each run draws paths from.
 COORDINATES = 64
-RUNS = 8
-# Splits before a node is looked at. A pair at the threshold survives three in
-# 64 of 100 runs and so is lost by eight runs in 3 of 10,000 cases.
+DRAWN = 16
+# Splits before a node is looked at, and levels of splits after these.
 FIRST = 3
-LEAF = 256
 DEPTH = 8
+LEAF = 256
 BLOCK = 512
+# Share of the pairs at the threshold that the runs bring together, even where
+# every node on their way is split down to the last level.
+TARGET = 0.999
 
 # Estimates from 64 coordinates have a standard deviation of 0.05 at 0.8: a
-# pair at the threshold falls below LIKELY in one case of a thousand.
-LIKELY = 41 / 64
+# pair at the threshold falls below LIKELY in fewer than one of ten thousand cases.
+LIKELY = 38 / 64
+
+
+def survival(splits: int) -> float:
+    """Chance that one run leaves a pair at the threshold together after ``splits``."""
+    kept = 1.0
+    for _ in range(splits):
+        apart = 1 - THRESHOLD * kept
+        more = 1 / THRESHOLD - 1
+        kept = 1 - (1 - more) * apart - more * apart**2
+    return kept
+
+
+def runs_needed(splits: int, target: float = TARGET) -> int:
+    return math.ceil(math.log(1 - target) / math.log(1 - survival(splits)))
 
-_SALT = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
-_ODD = mix(np.arange(101, COORDINATES + 101, dtype=np.uint64)) | np.uint64(1)
+
+RUNS = runs_needed(FIRST + DEPTH)
+
+
+def _factors(first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.arange(first, first + count, dtype=np.uint64)
+    return mix(at), mix(at + np.uint64(1 << 32)) | np.uint64(1)
 
 
 def text_shingles(texts: pa.Array, n: int = WORDS):
@@ -88,39 +113,46 @@ def sums_before_words(hashes: np.ndarray) -> np.ndarray:
     return sums_before(mix(hashes))
 
 
-def _signatures(batches):
+def _signatures(batches, runs: int):
+    """Minimum hashes of each text: ``sig`` to compare by, ``drawn`` for the paths of the runs."""
+    count = COORDINATES + runs * DRAWN
+    salt, odd = _factors(1, count)
     for batch in batches:
         ids, marks, texts = batch.column(0), batch.column(1), batch.column(2)
-        for first, keys, count, found, of in text_shingles(texts):
+        for first, keys, _, found, of in text_shingles(texts):
             at, owners = segments(of)
             if not len(owners):
                 continue
-            sig = np.empty((len(owners), COORDINATES), np.int32)
-            for k in range(COORDINATES):
-                low = np.minimum.reduceat((found ^ _SALT[k]) * _ODD[k], at)
+            sig = np.empty((len(owners), count), np.int32)
+            for k in range(count):
+                low = np.minimum.reduceat((found ^ salt[k]) * odd[k], at)
                 sig[:, k] = (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            values = pa.array(sig.ravel())
-            offsets = pa.array(np.arange(len(owners) + 1, dtype=np.int32) * COORDINATES)
             at = pa.array(owners + first)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(at), marks.take(at), pa.array(signed(keys[owners])), pa.ListArray.from_arrays(offsets, values)],
-                ["doc_id", "t", "k", "sig"],
+                [ids.take(at), marks.take(at), pa.array(signed(keys[owners])), _rows(sig[:, :COORDINATES]), _rows(sig[:, COORDINATES:])],
+                ["doc_id", "t", "k", "sig", "drawn"],
             )
 
 
-def _drawn(node: Column) -> Column:
-    """One coordinate of the node, in a quarter of the cases a second one."""
-    one = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(COORDINATES)).cast("int")
-    step = F.pmod(F.xxhash64(node, F.lit(2)), F.lit(COORDINATES - 1)).cast("int")
-    two = F.pmod(one + 1 + step, F.lit(COORDINATES)).cast("int")
+def _rows(values: np.ndarray) -> pa.ListArray:
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
+
+
+def _drawn(node: Column, run: Column) -> Column:
+    """One coordinate of the node's run, in a quarter of the cases a second one."""
+    one = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(DRAWN)).cast("int")
+    step = F.pmod(F.xxhash64(node, F.lit(2)), F.lit(DRAWN - 1)).cast("int")
+    two = F.pmod(one + 1 + step, F.lit(DRAWN)).cast("int")
     more = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(100)) < int(100 * (1 / THRESHOLD - 1))
-    return F.explode(F.when(more, F.array(one, two)).otherwise(F.array(one)))
+    own = run * DRAWN
+    return F.explode(F.when(more, F.array(own + one, own + two)).otherwise(F.array(own + one)))
 
 
 def _children(rows: DataFrame) -> DataFrame:
-    """Rows ``(node, k, label, sig)`` handed to the children of their nodes."""
-    drawn = rows.select("node", "k", "label", "sig", _drawn(F.col("node")).alias("c"))
-    return drawn.select(F.xxhash64("node", "c", F.get("sig", F.col("c"))).alias("node"), "k", "label", "sig")
+    """Rows ``(node, run, k, label, drawn)`` handed to the children of their nodes."""
+    split = rows.select("node", "run", "k", "label", "drawn", _drawn(F.col("node"), F.col("run")).alias("c"))
+    return split.select(F.xxhash64("node", "c", F.get("drawn", F.col("c"))).alias("node"), "run", "k", "label", "drawn")
 
 
 def _proposals(batches):
@@ -218,7 +250,9 @@ def _sets(batches):
 
 
 def proposals(texts: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """Edges ``(u, v)`` between ``texts(k, sig)``: what they connect is compared.
+    """Edges ``(u, v)`` between ``texts(k, sig, drawn)``: what they connect is compared.
+
+    ``drawn`` has ``DRAWN`` coordinates for each run.
 
     A large node compares its members with one of them, its centre, drawn by a
     hash of node and member. Labels name what is connected: all labels that are
@@ -227,11 +261,11 @@ def proposals(texts: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int =
     one member, nor one in which at most ``leaf`` members are apart from the
     centre: these are compared with all others, a part of them in each leaf.
     """
-    root = F.explode(F.array(*[F.lit(r).cast("long") for r in range(runs)])).alias("node")
-    rows = texts.select(root, "k", F.col("k").alias("label"), "sig")
+    run = F.explode(F.array(*[F.lit(r) for r in range(runs)])).alias("run")
+    rows = texts.select(run, "k", F.col("k").alias("label"), "drawn").withColumn("node", F.col("run").cast("long"))
     for _ in range(FIRST):
         rows = _children(rows)
-    nodes = stage(rows.drop("sig"), "paths")
+    nodes = stage(rows.drop("drawn"), "paths")
     closing = nodes.select("node", "k").limit(0)
     found = []
     for _ in range(depth):
@@ -248,16 +282,16 @@ def proposals(texts: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int =
         centre = centre.join(texts.select(F.col("k").alias("centre"), F.col("sig").alias("other")), "centre")
         near = large.join(centre, "node").join(texts.select("k", "sig"), "k")
         agree = F.size(F.filter(F.zip_with("sig", "other", lambda a, b: a == b), lambda x: x)) / COORDINATES
-        near = stage(near.select("node", "k", "label", "centre", "middle", (agree >= LIKELY).alias("likely")), "centres")
+        near = stage(near.select("node", "run", "k", "label", "centre", "middle", (agree >= LIKELY).alias("likely")), "centres")
         found.append(near.where(F.col("likely") & (F.col("k") != F.col("centre"))).select(F.col("centre").alias("u"), F.col("k").alias("v")).distinct())
         labels = near.groupBy("node", "label").agg(F.max("likely").alias("met"), F.min("middle").alias("middle"), F.count("*").alias("n"))
         counts = labels.groupBy("node").agg(F.sum(F.when(F.col("met"), F.col("n"))).alias("met_n"), F.sum(F.when(~F.col("met"), F.col("n"))).alias("apart"))
         labels = labels.drop("n").join(counts.where("apart > 0"), "node")
-        rest = near.select("node", "k", "label").join(labels, ["node", "label"])
+        rest = near.select("node", "run", "k", "label").join(labels, ["node", "label"])
         rest = stage(rest.withColumn("label", F.when(F.col("met"), F.col("middle")).otherwise(F.col("label"))), "mixed")
         closing = _closed(rest.where(F.col("apart") <= leaf), leaf)
-        rest = rest.where(F.col("apart") > leaf).select("node", "k", "label").join(texts.select("k", "sig"), "k")
-        nodes = stage(_children(rest.select("node", "k", "label", "sig")).drop("sig"), "paths")
+        rest = rest.where(F.col("apart") > leaf).select("node", "run", "k", "label").join(texts.select("k", "drawn"), "k")
+        nodes = stage(_children(rest).drop("drawn"), "paths")
     # What is still large after the last level is compared in blocks.
     sizes = nodes.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node")
     left = nodes.join(sizes, "node", "left_semi").select(F.col("node").alias("comp"), F.col("k").alias("id"))
@@ -282,9 +316,10 @@ def classes(docs: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DE
     docs = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text")
     )
-    known = stage(docs.mapInArrow(_signatures, "doc_id long, t long, k long, sig array<int>"), "signatures")
+    scan = lambda batches: _signatures(batches, runs)
+    known = stage(docs.mapInArrow(scan, "doc_id long, t long, k long, sig array<int>, drawn array<int>"), "signatures")
     texts = known.groupBy("k").agg(
-        F.min(F.struct("doc_id", "t")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig")
+        F.min(F.struct("doc_id", "t")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("drawn").alias("drawn")
     )
     texts = stage(texts, "texts")
     groups = components(proposals(texts, runs, leaf, depth), "proposed")

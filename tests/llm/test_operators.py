@@ -87,6 +87,32 @@ def test_crowded_nodes_and_blocks(spark):
     assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {39}
 
 
+def test_runs_reach_the_target_recall(spark):
+    """Enough runs for the deepest level, each with coordinates of its own."""
+    kept = 1.0
+    for _ in range(jaccard.FIRST + jaccard.DEPTH):
+        kept = 1 - 0.75 * (1 - 0.8 * kept) - 0.25 * (1 - 0.8 * kept) ** 2
+    assert (1 - kept) ** jaccard.RUNS <= 0.001
+    texts = __import__("pyarrow").array([prose(60, 1)])
+    batch = __import__("pyarrow").RecordBatch.from_arrays([[1], [1], texts], ["doc_id", "t", "text"])
+    (out,) = jaccard._signatures([batch], jaccard.RUNS)
+    drawn = out.column(4)[0].as_py()
+    assert len(set(drawn)) == len(drawn) == jaccard.RUNS * jaccard.DRAWN
+
+
+def test_pairs_in_crowded_nodes(spark):
+    """Pairs just above 0.8, no chain between them, all texts half alike."""
+    head, rows = prose(126, 77), []
+    for i in range(150):
+        own = prose(74, 2000 + i).split()
+        rows += [(2 * i, f"{head} {' '.join(own)}"), (2 * i + 1, f"{head} {' '.join(own[:53])} {prose(21, 3000 + i)}")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in jaccard.near_duplicates(frame, leaf=4).collect()}
+    found = sum(got[2 * i + 1] == 2 * i for i in range(150))
+    print("recall", found, "of 150")
+    assert found >= 149 and all(got[2 * i] == 2 * i for i in range(150))
+
+
 def test_contamination(spark, docs, none):
     items = spark.createDataFrame(
         [(1, " ".join(odd_texts()[0][1].split()[30:50])), (2, prose(20, 77)), (3, None), (None, "a b c d e f"), (4, "one two"), (5, "")],
