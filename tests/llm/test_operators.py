@@ -211,6 +211,26 @@ def test_pii_rows(docs, none):
     assert pii.personal_data(none).count() == 0
 
 
+def test_pii_adds_what_only_generators_propose(spark):
+    r = random.Random(12)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    rows = []
+    for i in range(400):
+        parts = [f"mail me: {prose(1, i)}{r.choice(['', '.', '-', '_'])}{prose(1, i + 1)}@{prose(1, i + 2)}.org", f"call +1 ({digits(3)}) {digits(3)}-{digits(4)}"]
+        parts += [f"version {r.randint(256, 999)}.{digits(2)}.{digits(1)}.{digits(3)}", f"part +{digits(2)}-{digits(r.choice([2, 4, 7, 16]))}", f"order {digits(r.choice([7, 8, 9, 20]))}"]
+        parts += [f"she stays at home. {prose(1, i + 3).title()}", prose(12, i)]
+        rows.append((i, " ; ".join(parts)))
+    odd = {900: "joe (at) host (dot) org", 901: "(706) 555-3138", 902: "ann at place dot net"}
+    rows += [(i, f"mail me: {t} ; {prose(12, i)}" if i != 901 else f"call {t} ; {prose(12, i)}") for i, t in odd.items()]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = dict(rows)
+    cut = lambda t, s: t[int(s.split(":")[1]) : int(s.split(":")[2])]
+    got = {x.doc_id: [cut(texts[x.doc_id], s) for s in x.spans.split(",") if s] for x in pii.personal_data(frame).collect()}
+    for i, t in odd.items():
+        assert t in got[i], (i, got[i])
+    assert not any("at home" in t for found in got.values() for t in found)
+
+
 def test_toxicity(spark, docs, none, labels, data):
     rows = toxicity.toxicity(docs, labels).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
