@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloom.llm import contamination, jaccard, lines, mixing, neighbours, pii, quality, secrets, suffixes, toxicity
+from rolloom.llm import (
+    contamination,
+    decisions,
+    jaccard,
+    lines,
+    mixing,
+    neighbours,
+    periodic,
+    pii,
+    quality,
+    radix,
+    secrets,
+    suffixes,
+    toxicity,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,6 +65,18 @@ def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return quality.resampled(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_decision_list(spark: SparkSession, folder: str) -> DataFrame:
+    return decisions.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_radix_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return radix.drawn(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.run_report(table(spark, folder, "documents"), plant=True)
+
+
 QUERIES = [
     op1_permutation_index,
     op2_ngram_jaccard_join,
@@ -62,8 +88,11 @@ QUERIES = [
     op8_hierarchical_mixture,
     op9_fuzzy_line_dedup,
     op10_importance_resampling,
+    op11_decision_list,
+    op12_radix_resampling,
+    op13_periodic_runs,
 ]
-ORACLES = {"op5_benchmark_containment": contamination.SQL, "op8_hierarchical_mixture": mixing.SQL}
+ORACLES = {"op5_benchmark_containment": contamination.SQL, "op8_hierarchical_mixture": mixing.SQL, "op12_radix_resampling": radix.SQL}
 
 
 def queries() -> dict:
