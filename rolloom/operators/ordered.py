@@ -1,19 +1,27 @@
 """Order-dependent operators without a window over a whole table.
 
-A running total, a dense row number or a fill-forward over all rows needs
-order across partitions. Rows are cut into buckets of the order column, each
-bucket is reduced to one row, and the same operator runs over the bucket rows
-to give every bucket its starting value. A window then spans one bucket of at
-most ``WIDTH`` order values, however much one key holds, and the last one the
-buckets of a key: 1.5 million rows for 10**11 order values. ``levels`` adds
-further rounds of buckets for still longer keys.
+Positions come from ranges of the order that hold about as many rows each.
+
+A running total or a fill-forward inside a key takes an order without large
+gaps, as steps and line numbers are. Rows are cut into buckets of the order
+column, each bucket is reduced to one row, and the same operator runs over the
+bucket rows to give every bucket its starting value. A window then spans one
+bucket of at most ``WIDTH`` order values, however much one key holds, and the
+last one the buckets of a key: 1.5 million rows for 10**11 order values.
+``levels`` adds further rounds of buckets for still longer keys.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import accumulate
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolloom.session import work_dir
+
 WIDTH = 65536
 
 
@@ -46,38 +54,59 @@ def running_sums(
     return cut.join(starts, [*keys, bucket]).select(*rows.columns, *sums)
 
 
-def dense_index(rows: DataFrame, major: str, minor: str, name: str = "gi") -> DataFrame:
-    """Dense 0-based position in (major, minor) order; the pair is unique.
-
-    The number of rows before a major value comes from running sums of the
-    counts per value, the place inside it from running sums over the minor
-    column. So one major value may hold a large part of all rows.
-    """
-    counts = rows.groupBy(major).agg(F.count("*").alias("_n"))
-    starts = running_sums(counts, [], major, ["_n"]).select(major, F.col("_n_before").alias("_start"))
-    placed = running_sums(rows.withColumn("_one", F.lit(1)), [major], minor, ["_one"])
-    index = (F.col("_start") + F.col("_one_before")).cast("bigint")
-    return placed.join(starts, major).select(*rows.columns, index.alias(name))
+def positions(rows: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """Adds ``name``: the dense 0-based position of each row in the given order.
 
+    The rows are dealt by ranges of the order columns and sorted inside their
+    range, which is one shuffle and no window: the place inside a range comes
+    with the sorted row, and the rows before a range from one count per range.
+    Ranges are cut by rank, so neither sparse values nor one that holds a third
+    of all rows makes a large one; only rows that are equal in all columns of
+    the order stay together. They are told apart by their place in the written
+    table, which every later reader shares.
 
-def hashed_index(
-    rows: DataFrame, keys: list[str], hash_col: str, name: str, digits: int = 4, ties: tuple[str, ...] = ()
+    ``parts`` is the number of ranges, by default the session's shuffle
+    partitions. The driver sees one number for each of them.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
+    path = work_dir(spark, "positions")
+    marked = dealt.withColumn("_at", F.monotonically_increasing_id())
+    marked.write.parquet(path)
+    placed = spark.read.schema(marked.schema).parquet(path)
+    # such an id holds the number of the range above bit 33, the place below
+    part = F.shiftrightunsigned("_at", 33)
+    counts = dict(placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    numbers = sorted(counts)
+    before = accumulate((counts[p] for p in numbers[:-1]), initial=0)
+    starts = spark.createDataFrame(list(zip(numbers, before)), "_p bigint, _before bigint")
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row of two numbers for each range
+    found = placed.withColumn("_p", part).join(F.broadcast(starts), "_p")
+    return found.select(*rows.columns, (F.col("_before") + place).alias(name))
+
+
+def dense_index(rows: DataFrame, major: str, minor: str, name: str = "gi", parts: int | None = None) -> DataFrame:
+    """Dense 0-based position in (major, minor) order."""
+    return positions(rows, [major, minor], name, parts)
+
+
+def keyed_index(
+    rows: DataFrame, keys: list[str], order: list[str], name: str, parts: int | None = None
 ) -> DataFrame:
-    """Dense 0-based position in the order of a hexadecimal hash, per key.
-
-    ``ties`` orders rows of equal hash, so that a repeated task agrees.
+    """Dense 0-based position in the given order inside each key.
 
-    The leading digits spread the rows evenly over ``16**digits`` buckets per
-    key; only the table of bucket counts, of that fixed size, is ordered as a
-    whole.
+    A key's rows are consecutive in the order of keys and ``order``, so their
+    positions less the smallest of them count from 0. The smallest is a partial
+    aggregate; a key with a third of all rows is spread over many ranges.
     """
-    cut = rows.withColumn("_b", F.substring(hash_col, 1, digits))
-    counts = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    prior = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(hash_col, *ties)
-    index = (F.col("_start") + F.row_number().over(inside) - 1).cast("bigint")
-    return cut.join(starts, [*keys, "_b"]).select(*rows.columns, index.alias(name))
+    placed = positions(rows, [*keys, *order], name, parts)
+    if not keys:
+        return placed
+    renamed = [f"_key{i}" for i in range(len(keys))]
+    first = placed.groupBy(*[F.col(k).alias(r) for k, r in zip(keys, renamed)]).agg(F.min(name).alias("_first"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, renamed)])
+    return placed.join(first, same).select(*rows.columns, (F.col(name) - F.col("_first")).alias(name))
 
 
 def last_seen(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolloom.functions.hashing import FAST, Draws
-from rolloom.operators.ordered import hashed_index, running_sums
+from rolloom.operators.ordered import positions, running_sums
 
 
 # --- order of prompts --------------------------------------------------------
@@ -27,12 +27,12 @@ def epoch_chunks(
     passes = F.greatest(F.ceil(steps * chunk / n), F.lit(1)).cast("int")
     each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), passes)))
     each = each.withColumn("_h", draws.order(seed, F.col("epoch"), F.col(key)))
-    placed = hashed_index(each, ["epoch"], "_h", "_i", ties=(key,)).drop("_h")
-    position = (F.col("epoch") - 1) * n + F.col("_i")
+    placed = positions(each, ["epoch", "_h", key], "_i")
+    position = F.col("_i")
     out = placed.withColumn("position", position + 1).withColumn(
         "step", (F.floor(position / chunk) + 1).cast("bigint")
     )
-    return out.filter(F.col("step") <= steps).drop("_i")
+    return out.filter(F.col("step") <= steps).drop("_i", "_h")
 
 
 def sample(rows: DataFrame, key: str, k: int, seed: int, step: int = 0, draws: Draws = FAST) -> DataFrame:

@@ -55,14 +55,15 @@ def running_ledger(v):
     "SELECT sample_id, resp_idx, n_tokens FROM f_roll",
 )
 def idempotent_ingest(v):
-    """One delivery comes twice; every response is kept once."""
+    """One delivery comes twice; every response is kept once, a step at a time."""
     inbox, sink, state = (work_dir(v.spark, d) for d in ("inbox", "distinct", "state"))
     at = F.timestamp_seconds(F.lit(1700000000) + F.col("sample_id") % 60)
-    rows = v.f_roll.select("sample_id", "resp_idx", "n_tokens", at.alias("ingested"))
-    schema = "sample_id bigint, resp_idx int, n_tokens bigint, ingested timestamp"
+    step = F.floor(F.col("sample_id") / 1024).cast("int")
+    rows = v.f_roll.select(step.alias("step"), "sample_id", "resp_idx", "n_tokens", at.alias("ingested"))
+    schema = "step int, sample_id bigint, resp_idx int, n_tokens bigint, ingested timestamp"
     again = F.col("sample_id") % 10 == 3
     for part in (F.lit(True), again):
         rows.filter(part).write.mode("append").json(inbox)
         stream = jobs.new_files(v.spark, inbox, schema)
-        jobs.append_distinct(stream, ["sample_id", "resp_idx"], sink, state)
+        jobs.append_distinct(stream, ["step", "sample_id", "resp_idx"], sink, state, by=["step"])
     return v.spark.read.parquet(sink).select("sample_id", "resp_idx", "n_tokens")

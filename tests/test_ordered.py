@@ -47,21 +47,52 @@ def test_last_seen(spark, levels, width):
     assert got == want
 
 
-def test_dense_index(spark, monkeypatch):
-    monkeypatch.setattr(od, "WIDTH", 4)
-    rng = random.Random(2)
-    pairs = list({(7 if rng.random() < 0.4 else rng.randint(0, 300), rng.randint(0, 2000)) for _ in range(2000)})
-    frame = spark.createDataFrame(pairs, "a long, b long")
-    got = {(r.a, r.b): r.gi for r in od.dense_index(frame, "a", "b").collect()}
-    assert got == {p: i for i, p in enumerate(sorted(pairs))}
+def hashes(n, seed=2):
+    """Pairs whose first value is a 64-bit hash; one of them holds 40 %."""
+    rng = random.Random(seed)
+    wide = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(300)]
+    return list({(7 if rng.random() < 0.4 else rng.choice(wide), rng.randint(0, 2000)) for _ in range(n)})
 
 
-@pytest.mark.parametrize("digits", [1, 3])
-def test_hashed_index(spark, digits):
-    frame = spark.range(2000).withColumn("h", order_key(1, F.col("id")))
-    rows = od.hashed_index(frame, [], "h", "i", digits).orderBy("i").collect()
-    assert [r.i for r in rows] == list(range(2000))
-    assert [r.h for r in rows] == sorted(r.h for r in rows)
+@pytest.mark.parametrize("parts", [None, 1, 23])
+def test_dense_index(spark, parts):
+    pairs = hashes(2000)
+    frame = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    got = {(r.a, r.b): r.gi for r in od.dense_index(frame, "a", "b", parts=parts).collect()}
+    assert got == {p: i for i, p in enumerate(sorted(pairs))}
+    assert od.dense_index(frame.limit(0), "a", "b").count() == 0
+
+
+def test_positions_need_no_single_task(spark):
+    """Sparse ids, one of them hot: ranges stay even, and no plan gathers the rows."""
+    frame = spark.createDataFrame(hashes(4000), "a long, b long")
+    placed = od.positions(frame, ["a", "b"], "at", parts=16)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" not in plan
+    spread = frame.repartitionByRange(16, "a", "b").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(spread) >= 12 and max(r["count"] for r in spread) < 0.2 * frame.count()
+    assert placed.count() == frame.count()
+
+
+def test_positions_with_ties_and_nulls(spark):
+    rows = [(None, 1), (5, None), (None, None), (5, 5), (5, 5), (5, 5), (-1, 2)]
+    frame = spark.createDataFrame(rows, "a long, b long")
+    got = od.positions(frame, ["a", "b"], "at", parts=3).orderBy("at").collect()
+    assert [r.at for r in got] == list(range(len(rows)))
+    least = -(1 << 70)
+    assert [(r.a, r.b) for r in got] == sorted(rows, key=lambda r: tuple(least if x is None else x for x in r))
+
+
+@pytest.mark.parametrize("parts", [None, 9])
+def test_keyed_index(spark, parts):
+    rows = [(k if k != "k3" else None, o) for k, o, _ in hot_rows(1500, 4)]
+    frame = spark.createDataFrame(rows, "k string, o long").withColumn("h", order_key(1, F.col("o")))
+    got = od.keyed_index(frame, ["k"], ["h", "o"], "i", parts).collect()
+    for key in {k for k, _ in rows}:
+        mine = sorted((r.i, r.h) for r in got if r.k == key)
+        assert [i for i, _ in mine] == list(range(len(mine))) and [h for _, h in mine] == sorted(h for _, h in mine)
+    whole = od.keyed_index(frame, [], ["h", "o"], "i", parts).orderBy("i").collect()
+    assert [r.i for r in whole] == list(range(len(rows))) and [r.h for r in whole] == sorted(r.h for r in whole)
 
 
 @pytest.mark.parametrize("n,chunk,epochs", [(10, 3, 2), (12, 4, 3), (7, 7, 2), (25, 4, 1), (100, 7, 4)])
