@@ -228,7 +228,11 @@ def repetition(texts: pd.Series) -> pd.Series:
     return texts.map(repeat_score, na_action="ignore")
 
 
-def degenerate(c: Column, min_length: int = 128, share: float = 0.2) -> Column:
+def flagged(score: Column, length: Column, min_length: int = 128, share: float = 0.2) -> Column:
     """Long texts made of repeats; short ones never count."""
-    score = repetition(F.when(F.length(c) > min_length, c))
-    return F.coalesce(score > share, F.lit(False))
+    return F.coalesce((length > min_length) & (score > share), F.lit(False))
+
+
+def degenerate(c: Column, min_length: int = 128, share: float = 0.2) -> Column:
+    """``flagged`` by a score that is worked out for long texts only."""
+    return flagged(repetition(F.when(F.length(c) > min_length, c)), F.length(c), min_length, share)

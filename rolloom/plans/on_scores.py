@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rolloom.functions import check as ck
 from rolloom.functions import extract as ex
 from rolloom.functions import latex
-from rolloom.operators import grids, verdicts
+from rolloom.operators import grids, repeats, verdicts
 from rolloom.operators.prepare import resolve_domain
 from rolloom.plans import on_answers as oa
 from rolloom.plans.base import query
@@ -138,12 +138,23 @@ def normal_form(v):
     return v.table("part").select(F.col("p_partkey").alias("id"), latex.normal_form(answer).alias("form"))
 
 
-@query("e07_degenerate_text")
+@query(
+    "e07_degenerate_text",
+    f"SELECT id AS doc_id, n > 128 AND score > 0.2 AS degenerate, round(score, 9) AS score FROM ({repeats.sql_scores('documents', 'doc_id', 'text', 18)}) x",
+)
 def degenerate(v):
-    return v.documents().select(
-        "doc_id", latex.degenerate(F.col("text")).alias("degenerate"),
-        F.round(latex.repetition(F.col("text")), 9).alias("score"),
-    )
+    scored = v.documents().select("doc_id", F.length("text").alias("n"), latex.repetition(F.col("text")).alias("score"))
+    return scored.select("doc_id", latex.flagged(F.col("score"), F.col("n")).alias("degenerate"), F.round("score", 9).alias("score"))
+
+
+@query(
+    "e07_relational_scores",
+    f"SELECT id AS conv_id, n, round(score, 9) AS score FROM ({repeats.sql_scores('conversations', 'conv_id', 'text', 14)}) x",
+)
+def relational_scores(v):
+    """Every turn of every conversation, its suffixes ranked as rows."""
+    turns = v.table("conversations").select("conv_id", "text")
+    return repeats.repeat_scores(turns, "text").select("conv_id", F.length("text").cast("bigint").alias("n"), F.round("score", 9).alias("score"))
 
 
 def _sql_key(expr: str) -> str:

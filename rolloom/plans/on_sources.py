@@ -9,6 +9,7 @@ from rolloom.plans.on_preparation import sql_text
 from rolloom.plans.on_prompts import HEADER, SQL_PREFILLED, sql_fill, sql_turn
 from rolloom.operators import prompts as pm
 from rolloom.session import work_dir
+from rolloom.sources import arrays
 from rolloom.sources import config as cf
 from rolloom.sources import files as fs
 from rolloom.sources import registry as rg
@@ -26,6 +27,21 @@ def json_arrays(v):
     return fs.read_json_arrays(v.spark, path, _DOC).select("doc_id", "text", "lang")
 
 
+@query("a01_large_arrays", "SELECT doc_id, text, lang FROM documents")
+def large_arrays(v):
+    """One array for each language, a few large files, converted to Parquet."""
+    path, table = work_dir(v.spark, "array"), work_dir(v.spark, "converted")
+    docs = v.table("documents")
+    first = docs.groupBy(F.coalesce("lang", F.lit("")).alias("key")).agg(F.min("doc_id").alias("first"))
+    rows = docs.join(first, F.coalesce("lang", F.lit("")) == F.col("key"))
+    mark = F.when(F.col("doc_id") == F.col("first"), "[").otherwise(",")
+    lines = rows.select("key", F.col("doc_id").alias("n"), F.concat(mark, F.to_json(F.struct("doc_id", "text", "lang"))).alias("value"))
+    ends = first.select("key", F.lit(2**63 - 1).alias("n"), F.lit("]").alias("value"))
+    dealt = lines.unionAll(ends).repartition("key").sortWithinPartitions("key", "n")
+    dealt.select("key", "value").write.partitionBy("key").text(path)
+    return arrays.to_parquet(v.spark, path, _DOC, table)
+
+
 @query(
     "a02_read_json_lines",
     """SELECT CASE WHEN ok THEN doc_id END AS doc_id, CASE WHEN ok THEN text END AS text, CASE WHEN ok THEN lang END AS lang,
@@ -138,9 +154,12 @@ def export_solutions(v):
 
 @query("a08_merge_chunks", "SELECT conv_id, turn, response, chunk_id FROM f_outputs")
 def merge_chunks(v):
-    chunks = v.f_outputs
-    expected = v.f_outputs.select("chunk_id").distinct()
-    return fs.merged_chunks(chunks, expected, ["chunk_id", "conv_id", "turn"])
+    """Outputs in a folder for each chunk, against the chunks of the requests."""
+    path = work_dir(v.spark, "chunks")
+    v.f_outputs.write.partitionBy("chunk_id").parquet(path)
+    chunks = v.spark.read.schema(v.f_outputs.schema).parquet(path)
+    asked = v.f_requests.select((F.col("conv_id") % 8).cast("int").alias("chunk_id"))
+    return fs.merged_chunks(chunks, asked, ["chunk_id", "conv_id", "turn"])
 
 
 @query(

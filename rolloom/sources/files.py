@@ -12,8 +12,8 @@ CORRUPT = "_bad"
 def read_json_arrays(spark: SparkSession, paths, schema: str) -> DataFrame:
     """Files that hold one JSON array each.
 
-    Such a file cannot be split, so it is one task: convert a large set to
-    Parquet once (``to_parquet``) and read that from then on.
+    Such a file is one task here. ``arrays.read_large_arrays`` reads one large
+    array by many tasks, ``arrays.to_parquet`` converts a set once.
     """
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(paths)
 
@@ -52,12 +52,24 @@ def solution_lines(rollouts: DataFrame) -> DataFrame:
 
 
 def merged_chunks(chunks: DataFrame, expected: DataFrame, order: list[str]) -> DataFrame:
-    """All chunks in order. Fails if an expected chunk has no rows."""
-    absent = expected.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_anti")
-    missing = [r[0] for r in absent.limit(20).collect()]
-    if missing:
-        raise ValueError(f"missing chunks: {missing}")
-    return chunks.orderBy(*order)
+    """All chunks in order; reading the result fails if an expected one has no rows.
+
+    ``expected`` names the chunks that were asked for. The guard is part of the
+    plan: the absent chunks, reduced to one row, stand beside every row, and a
+    row beside absent ones raises. Nothing runs before the result is read. Where
+    chunks are folders, ``chunk_id`` comes from their names, and the guard reads
+    no data. A result without any row has a row of its own to raise from.
+    """
+    asked = expected.select(F.col("chunk_id").alias("_asked")).where("_asked IS NOT NULL").distinct()
+    found = chunks.select(F.col("chunk_id").alias("_found")).distinct()
+    absent = asked.join(found, F.col("_asked") == F.col("_found"), "left_anti")
+    # one row, whatever is absent; the message names the smallest and their number
+    state = absent.agg(F.count("*").alias("_absent"), F.min("_asked").cast("string").alias("_first"))
+    message = F.concat(F.lit("missing chunks: "), F.col("_absent").cast("string"), F.lit(", the first is "), F.col("_first"))
+    # about both sides at once, so that the row of an empty result is kept and seen
+    stays = F.when(F.col("_absent") > 0, F.raise_error(message).cast("boolean")).otherwise(F.col("_row").isNotNull())
+    beside = chunks.withColumn("_row", F.lit(True)).join(F.broadcast(state), F.lit(True), "right")
+    return beside.where(stays).select(*chunks.columns).orderBy(*order)
 
 
 RUN_META = "current_epoch int, last_save_name string"

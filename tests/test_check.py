@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rolloom.functions import check as ck
 from rolloom.functions import latex
+from rolloom.operators import repeats
 
 AB = "a string, b string"
 A, B = F.col("a"), F.col("b")
@@ -77,6 +78,21 @@ def test_repeat_score_equals_sorted_suffixes():
         assert latex.repeat_score(t) == pytest.approx(brute_repeat(t)), t
 
 
+def test_relational_scores_equal_those_of_sorted_suffixes(spark):
+    import random
+
+    r = random.Random(9)
+    texts = ["".join(r.choice("ab" if k % 2 else "abcdeé漢😀\n") for _ in range(r.randint(0, 60))) for k in range(40)]
+    texts += ["", "x", "a" * 90, "abc" * 40, None, "abc" * 40]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = repeats.repeat_scores(frame, "t")
+    assert got.columns == ["k", "t", "score"]
+    for row in got.collect():
+        want = None if row.t is None else brute_repeat(row.t) if len(row.t) > 1 else 0.0
+        assert row.score == (None if want is None else pytest.approx(want)), row.t
+    assert repeats.repeat_scores(frame.limit(0), "t").count() == 0
+
+
 def test_degenerate_only_for_long_repeats(apply):
     rng = random.Random(1)
     noise = "".join(rng.choice("abcdefghijklmnop ") for _ in range(300))

@@ -40,9 +40,16 @@ def test_json_arrays_and_lines(spark, tmp_path):
 def test_missing_chunk_fails(spark):
     chunks = spark.createDataFrame([(0, 1), (2, 5)], "chunk_id int, row int")
     wanted = spark.createDataFrame([(0,), (1,), (2,)], "chunk_id int")
-    with pytest.raises(ValueError, match=r"\[1\]"):
-        fs.merged_chunks(chunks, wanted, ["chunk_id"])
+    merged = fs.merged_chunks(chunks, wanted, ["chunk_id"])
+    for act in (lambda: merged.collect(), lambda: merged.count(), lambda: merged.write.format("noop").mode("overwrite").save()):
+        with pytest.raises(Exception, match="missing chunks: 1, the first is 1"):
+            act()
     assert fs.merged_chunks(chunks, wanted.filter("chunk_id <> 1"), ["chunk_id"]).count() == 2
+    # building the plan reads nothing, reading it fails, also without any chunk
+    late = fs.merged_chunks(chunks.limit(0), wanted, ["chunk_id"])
+    with pytest.raises(Exception, match="missing chunks: 3"):
+        late.collect()
+    assert fs.merged_chunks(chunks.limit(0), wanted.limit(0), ["chunk_id"]).count() == 0
 
 
 def test_run_catalogue(spark, tmp_path):
