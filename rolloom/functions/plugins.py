@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,19 +48,27 @@ class Plugins:
 
     def verdict(self, name: Column, pred: Column, gold: Column) -> Column:
         """Unknown names, NULL and failing checkers are all wrong."""
-        out = self._choose(self.checkers, name, lambda b: b(pred, gold), F.lit(False))
+        out = F.lit(False)
+        for key, build in self.checkers.items():
+            mine = name == key
+            # a Python checker is worked out for all rows: others reach it as NULL
+            out = F.when(mine, build(F.when(mine, pred), F.when(mine, gold))).otherwise(out)
         return F.coalesce(out, F.lit(False))
 
 
 def python_checker(judge: Callable[[str, str], bool]) -> Checker:
     """A checker from a Python function, over Arrow batches.
 
-    An exception makes that answer wrong and never fails the job.
+    An exception makes that answer wrong and never fails the job. Rows without
+    an answer, which are those of other checkers too, never reach the function.
     """
 
     @F.pandas_udf(T.BooleanType())
     def check(pred: pd.Series, gold: pd.Series) -> pd.Series:
-        return pd.Series([_guarded(judge, p, g) for p, g in zip(pred, gold)], dtype="bool")
+        out = np.zeros(len(pred), bool)
+        some = np.flatnonzero(pred.notna().to_numpy())
+        out[some] = [_guarded(judge, p, g) for p, g in zip(pred.to_numpy()[some], gold.to_numpy()[some])]
+        return pd.Series(out)
 
     return check
 
@@ -71,6 +80,28 @@ def _guarded(judge, pred, gold) -> bool:
         return False
 
 
+def scored_by_frames(rows: DataFrame, judge: Callable[[pd.DataFrame], pd.Series], name: str = "correct") -> DataFrame:
+    """Judge whole Arrow batches with one call each, for a scorer of many rows.
+
+    A batch that fails is judged again row by row, so an exception makes its own
+    row wrong and no other. NULL verdicts are wrong.
+    """
+
+    def verdicts(batch: pd.DataFrame) -> np.ndarray:
+        return np.asarray(pd.Series(judge(batch)).fillna(False), bool)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            try:
+                found = verdicts(batch)
+            except Exception:  # some row's failure: find out which
+                found = [_guarded(lambda r, _: verdicts(r)[0], batch.iloc[i : i + 1], None) for i in range(len(batch))]
+            yield batch.assign(**{name: found})
+
+    schema = T.StructType(rows.schema.fields + [T.StructField(name, T.BooleanType())])
+    return rows.mapInPandas(run, schema)
+
+
 def scored_in_batches(rows: DataFrame, judge: Callable[[dict], bool], name: str = "correct") -> DataFrame:
     """Judge whole rows with a Python function; executors are the pool."""
 

@@ -7,7 +7,7 @@ import json
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,6 +132,23 @@ def kept_per_split(problems: DataFrame, tests: DataFrame) -> DataFrame:
     return total.join(kept, "split", "left").select("split", F.coalesce("kept", F.lit(0)).alias("kept"), "total")
 
 
+def write_split(problems: DataFrame, tests: DataFrame, split: str, path: str, cap: int | None = None) -> dict[str, int]:
+    """Writes the kept problems of a split and returns ``total, fit, kept``.
+
+    All three are counted by the write itself: ``total`` rows of the split,
+    ``fit`` rows that pass the filter, ``kept`` rows written, which are the
+    first ``cap`` of them by id if a cap is given. The cap sorts no more than
+    ``cap`` rows of each task.
+    """
+    seen, passed = Observation(), Observation()
+    rows = problems.where(F.col("split") == split).observe(seen, F.count("*").alias("total"))
+    fit = keep_contest_problems(rows, tests).observe(passed, F.count("*").alias("fit"))
+    out = fit if not cap else fit.orderBy("id").limit(cap)
+    out.write.parquet(path)
+    found = passed.get["fit"]
+    return {"total": seen.get["total"], "fit": found, "kept": min(found, cap) if cap else found}
+
+
 def row_cap(rows: DataFrame, per: str, order: Column, cap: int) -> DataFrame:
     """At most ``cap`` rows per group, the first in order (a user's limit)."""
     from pyspark.sql import Window

@@ -136,6 +136,28 @@ def scheduled_threshold(
     return F.when(step <= hold, F.lit(float(start))).otherwise(moved)
 
 
+def schedule_table(steps: DataFrame, budget, threshold=None) -> DataFrame:
+    """One row for each step: its token budget and, if asked for, its threshold.
+
+    ``steps`` holds the steps in any number of rows; both settings are functions
+    of the step, so the table is as long as the run has steps.
+    """
+    step = F.col("step")
+    columns = [budget(step).cast("int").alias("budget")]
+    if threshold is not None:
+        columns.append(threshold(step).alias("threshold"))
+    return steps.select("step").where("step IS NOT NULL").distinct().select("step", *columns)
+
+
+def at_step(facts: DataFrame, table: DataFrame) -> DataFrame:
+    """Facts with the settings of their step; a step without any has NULLs.
+
+    The table is broadcast if it is small, by Spark's own measure. A NULL budget
+    is no cap, as everywhere.
+    """
+    return facts.join(table, "step", "left")
+
+
 def changes(rows: DataFrame, schedule, name: str) -> DataFrame:
     """Rows at whose step ``schedule(step)`` differs from the step before.
 

@@ -100,6 +100,16 @@ def first_candidate_by_platform(verdicts: DataFrame) -> DataFrame:
     )
 
 
+def first_recorded_pair(items: DataFrame, order: str) -> DataFrame:
+    """The first recorded base and plus shares, as they were reported.
+
+    ``recorded`` is a struct of both; items without one are passed over. One
+    row, or none if no item has a pair.
+    """
+    some = items.where(F.col("recorded").isNotNull()).agg(F.min_by("recorded", order).alias("r"))
+    return some.where("r IS NOT NULL").select("r.base", "r.plus")
+
+
 def base_plus_summary(candidates: DataFrame) -> DataFrame:
     """Share of candidates that pass the base and the extended tests."""
     return candidates.agg(

@@ -247,6 +247,18 @@ def base_plus(v):
     return vd.base_plus_summary(rows).select(r9(F.col("base")).alias("base"), r9(F.col("plus")).alias("plus"))
 
 
+@query(
+    "g14_first_recorded_pair",
+    """WITH c AS (SELECT sample_id, min(score) AS base, max(score) AS plus FROM f_verd WHERE platform IS NOT NULL GROUP BY sample_id)
+       SELECT round(base, 9) AS base, round(plus, 9) AS plus FROM c ORDER BY sample_id LIMIT 1""",
+)
+def first_pair(v):
+    """Only problems of a known platform have a recorded pair."""
+    pair = F.when(F.count("platform") > 0, F.struct(F.min("score").alias("base"), F.max("score").alias("plus")))
+    items = v.f_verd.groupBy("sample_id").agg(pair.alias("recorded"))
+    return vd.first_recorded_pair(items, "sample_id").select(r9(F.col("base")).alias("base"), r9(F.col("plus")).alias("plus"))
+
+
 @query("g15_domain_counts", "SELECT domain, count(*) AS n FROM f_mix GROUP BY domain")
 def domain_counts(v):
     return mt.label_counts(v.f_mix, "domain")

@@ -52,6 +52,17 @@ def batch_scoring(v):
     return pl.scored_in_batches(rows, lambda r: 1 // (r["event_id"] % 11) >= 0 and r["value"] > 10).drop("value")
 
 
+@query(
+    "o03_frame_scoring",
+    "SELECT user_id, event_id, value > 10 AND event_type <> 'error' AS correct FROM events",
+)
+def frame_scoring(v):
+    """One call for each Arrow batch, by a scorer of whole frames."""
+    rows = v.table("events").select("user_id", "event_id", "event_type", "value")
+    scored = pl.scored_by_frames(rows, lambda f: (f["value"] > 10) & (f["event_type"] != "error"))
+    return scored.select("user_id", "event_id", "correct")
+
+
 @query(
     "o04_round_table_function",
     f"""WITH {_sql_rounds(1)} SELECT x.resp_id, x.round, string_agg(CASE WHEN r = round THEN '1' ELSE '0' END, '' ORDER BY pos) AS target,

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from rolloom.operators import prepare as pr
 from rolloom.plans.base import query
 from rolloom.plans.on_answers import S, sql_rstrip, sql_strip
+from rolloom.session import work_dir
 
 WINDOWS = {"w5": ("1995-10", "1996-02"), "w6": ("1995-08", "1996-05")}
 
@@ -134,6 +135,23 @@ def kept_per_split(v):
     return pr.kept_per_split(v.f_cf, v.f_cf_tests)
 
 
+@query(
+    "b07_written_splits",
+    f"""SELECT split, total, fit, least(fit, CASE split WHEN 'train' THEN 50 ELSE fit END) AS kept, least(fit, CASE split WHEN 'train' THEN 50 ELSE fit END) AS rows
+        FROM (SELECT split, count(*) AS total, count(*) FILTER (WHERE {_SQL_KEEP}) AS fit FROM f_cf GROUP BY split) x""",
+)
+def written_splits(v):
+    """Both splits written, one of them capped; counts of the write and of the files."""
+    out = None
+    for split, cap in (("train", 50), ("test", None)):
+        path = work_dir(v.spark, f"split_{split}")
+        counts = pr.write_split(v.f_cf, v.f_cf_tests, split, path, cap)
+        rows = v.spark.read.parquet(path).agg(F.count("*").alias("rows"))
+        row = rows.select(F.lit(split).alias("split"), *[F.lit(n).cast("bigint").alias(k) for k, n in counts.items()], "rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @F.pandas_udf(T.StringType())
 def _pack(texts: pd.Series) -> pd.Series:
     """Even lengths as deflated JSON, odd ones as a pickle that must not load."""

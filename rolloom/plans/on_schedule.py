@@ -8,6 +8,7 @@ from rolloom.functions.hashing import PORTABLE
 from rolloom.operators import logprob as lp
 from rolloom.operators import ordered
 from rolloom.operators import prepare as pr
+from rolloom.operators import rewards as rw
 from rolloom.operators import schedule as sc
 from rolloom.plans.base import query
 
@@ -175,3 +176,45 @@ def sorted_listing(v):
         F.count("*").alias("n"), F.count_if("correct").alias("n_correct")
     )
     return listing.orderBy("category")
+
+
+# --- caps that follow the step -------------------------------------------------
+def _step_rows(v):
+    """Rollouts at steps 1 to 150; the run was scheduled for steps 1 to 120."""
+    rows = v.f_roll.withColumn("step", (F.col("sample_id") % 150 + 1).cast("int"))
+    steps = rows.where("step <= 120").select("step")
+    table = sc.schedule_table(
+        steps,
+        lambda step: sc.scheduled_budget(step, 100, 2000, 100, "sin"),
+        lambda step: sc.scheduled_threshold(step, 0.9, 0.5, hold=20, ramp=80),
+    )
+    return sc.at_step(rows, table)
+
+
+_SQL_STEPS = f"""steps AS (SELECT step, {_sql_budget('sin')} AS budget, CASE WHEN step <= 20 THEN 0.9 ELSE 0.9 + (0.5 - 0.9) * least((step - 20) / 80.0, 1.0) END AS threshold
+    FROM (SELECT unnest(range(1, 121)) AS step) x),
+  r AS (SELECT f.*, CAST(sample_id % 150 + 1 AS INT) AS own FROM f_roll f)"""
+
+
+@query(
+    "g02_step_caps",
+    f"""WITH {_SQL_STEPS} SELECT sample_id, resp_idx, own AS step, correct AND NOT coalesce(n_tokens >= budget - 5, false) AS capped, round(threshold, 9) AS threshold
+        FROM r LEFT JOIN steps ON step = own""",
+)
+def step_caps(v):
+    """The cap penalty under the budget of each row's own step."""
+    rows = _step_rows(v)
+    capped = rw.capped(F.col("correct"), F.col("n_tokens"), F.col("budget"))
+    return rows.select("sample_id", "resp_idx", "step", capped.alias("capped"), F.round("threshold", 9).alias("threshold"))
+
+
+@query(
+    "b19_step_budgets",
+    f"""WITH {_SQL_STEPS} SELECT sample_id, resp_idx, CASE domain WHEN 'math' THEN least(budget, 1000) WHEN 'code' THEN least(budget, 300) ELSE budget END AS budget
+        FROM r JOIN steps ON step = own""",
+)
+def step_budgets(v):
+    """The domain's cap or the budget of the row's step, whichever is smaller."""
+    rows = _step_rows(v).where("budget IS NOT NULL")
+    budget = pr.token_budget(F.col("domain"), F.col("budget"), {"math": 1000, "code": 300})
+    return rows.select("sample_id", "resp_idx", budget.alias("budget"))

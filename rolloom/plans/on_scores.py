@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rolloom.functions import check as ck
 from rolloom.functions import extract as ex
 from rolloom.functions import latex
-from rolloom.operators import grids, repeats, verdicts
+from rolloom.operators import grids, repeats, rules, verdicts
 from rolloom.operators.prepare import resolve_domain
 from rolloom.plans import on_answers as oa
 from rolloom.plans.base import query
@@ -379,3 +379,61 @@ def error_taxonomy(v):
     return verdicts.error_report(v.documents().withColumn("code", code), "code", "text").select(
         "doc_id", "error", "shown", "output"
     )
+
+
+# --- by the registry ---------------------------------------------------------
+_SETS = ["BBH", "HellaSwag", "LCB_v6", "MMLU", "GSM8K", "ARC_C", "TriviaQA", None, "Hybrid_train"]
+
+
+def _with_dataset(v):
+    names = F.array(*[F.lit(n) for n in _SETS])
+    return v.f_resp.withColumn("dataset", F.get(names, (F.col("resp_id") % len(_SETS)).cast("int")))
+
+
+_SQL_SET = f"CASE CAST(resp_id % {len(_SETS)} AS INT) {' '.join(f'WHEN {i} THEN {chr(39)}{n}{chr(39)}' for i, n in enumerate(_SETS) if n)} END"
+# a dataset's domain where the row has no label
+_SQL_REGISTERED = f"""coalesce(CASE domain WHEN 'science' THEN 'mc' ELSE domain END,
+    CASE {_SQL_SET} WHEN 'BBH' THEN 'mc' WHEN 'HellaSwag' THEN 'mc' WHEN 'LCB_v6' THEN 'code' WHEN 'MMLU' THEN 'mc' WHEN 'ARC_C' THEN 'mc'
+        WHEN 'GSM8K' THEN 'math' WHEN 'TriviaQA' THEN 'triviaqa' END, 'math')"""
+_SQL_BY_SET = f"""CASE WHEN {_SQL_SET} = 'BBH' THEN {oa.SQL_PHRASE}
+    WHEN {_SQL_SET} = 'HellaSwag' THEN coalesce(upper(nullif(regexp_extract(lower(response), '[abcd]'), '')), '[invalid]')
+    WHEN {_SQL_SET} = 'LCB_v6' THEN coalesce({sql_strip(oa.SQL_LAST_BLOCK)}, '{ex.NO_CODE}')
+    WHEN {_SQL_REGISTERED} = 'mc' THEN CASE {_SQL_SET} WHEN 'MMLU' THEN {oa.sql_mc_letter('response', 'ABCD')}
+        WHEN 'ARC_C' THEN {oa.sql_mc_letter('response', 'ABCDE')} ELSE {oa.sql_mc_letter('response')} END
+    WHEN {_SQL_REGISTERED} = 'code' THEN {oa.SQL_CODE}
+    WHEN {_SQL_REGISTERED} = 'triviaqa' THEN {oa.sql_short_answer('response')}
+    WHEN {_SQL_REGISTERED} = 'livebench' THEN {oa.sql_rstrip(oa.sql_unmarked('response'))}
+    ELSE {oa.SQL_MATH} END"""
+
+
+@query("d18_registry_answers", f"SELECT resp_id, {_SQL_SET} AS dataset, {_SQL_REGISTERED} AS domain, {_SQL_BY_SET} AS answer FROM f_resp")
+def registry_answers(v):
+    name, label = F.col("dataset"), F.col("domain")
+    found = rules.answer(F.col("response"), name, label, F.col("fn_name"))
+    return _with_dataset(v).select("resp_id", "dataset", rules.domain(name, label).alias("domain"), found.alias("answer"))
+
+
+@query(
+    "e15_registry_verdicts",
+    f"""WITH a AS (SELECT resp_id, gold, {_SQL_SET} AS dataset, {_SQL_REGISTERED} AS domain, {_SQL_BY_SET} AS pred, resp_id % 5 = 0 AS recorded FROM f_resp)
+    SELECT resp_id, dataset, coalesce(CASE WHEN dataset = 'BBH' THEN {_sql_phrase('pred')} = {_sql_phrase('gold')}
+        WHEN dataset = 'HellaSwag' THEN {sql_letter('pred')} = {sql_letter('gold')}
+        WHEN domain = 'mc' THEN {sql_letter('pred')} = {sql_letter('gold')}
+        WHEN domain = 'triviaqa' THEN gold <> 'A' AND contains(pred, lower(gold))
+        WHEN domain IN ('code', 'livebench') THEN recorded
+        ELSE pred = gold END, false) AS correct FROM a""",
+)
+def registry_verdicts(v):
+    name, label = F.col("dataset"), F.col("domain")
+    rows = _with_dataset(v)
+    rows = rows.select("*", rules.answer(F.col("response"), name, label, F.col("fn_name")).alias("pred"))
+    verdict = rules.correct(F.col("pred"), F.array("gold"), name, label, recorded=F.col("resp_id") % 5 == 0)
+    return rows.select("resp_id", "dataset", verdict.alias("correct"))
+
+
+@query(
+    "b20_registry_letters",
+    f"SELECT resp_id, CASE {_SQL_SET} WHEN 'MMLU' THEN 'ABCD' WHEN 'ARC_C' THEN 'ABCDE' ELSE 'ABCDEFGHIJ' END AS letters FROM f_resp",
+)
+def registry_letters(v):
+    return _with_dataset(v).select("resp_id", rules.letters(F.col("dataset")).alias("letters"))

@@ -15,7 +15,8 @@ class Dataset:
     path: str
     domain: str | None = None
     template: str | None = None
-    style: str = "plain"  # plain, by_domain, by_language, trivia, system, prefill
+    style: str = "plain"  # plain, by_domain, by_language, trivia, system, prefill, few_shot
+    shots: int | None = None
     reformat: bool = False
     letters: str | None = None
     extract: str | None = None
@@ -38,12 +39,16 @@ DATASETS: dict[str, Dataset] = {
     "AIME2024": _math("AIME2024"),
     "AIME2025": _math("AIME2025"),
     "LiveMathBench_Hard": Dataset("LiveMathBench_Hard.json", "math", style="by_language"),
+    "MATH_hendrycks": Dataset("__debug_datasets__/hendrycks_math_test.json", "math", pm.STEP_BY_STEP),
     "GSM8K_train": _math("GSM8K_train"),
     "DAPO_Math_17k": _math("DAPO_Math_17k"),
+    "DAPO_Math_17k_1k": _math("DAPO_Math_17k_1k"),
     "MATH_train": _math("MATH_train"),
+    "MATH_train_traceRL": _math("MATH_train_traceRL"),
     "GPQA_Diamond_shuffled": _choice("GPQA_Diamond_shuffled", reformat=True),
     "GPQA_Main_shuffled": _choice("GPQA_Main_shuffled", reformat=True),
     "BBH": Dataset("BBH.json", "mc", "{question}", extract="phrase", check="phrase"),
+    "BBH_3shot": Dataset("BBH.json", "mc", "{question}", style="few_shot", shots=3, extract="phrase", check="phrase"),
     "MMLU": _choice("MMLU", reformat=True, required=True),
     "MMLU_Redux": _choice("MMLU_Redux"),
     "CEval": _choice("CEval"),
@@ -119,6 +124,25 @@ def chat(name: Column, row_domain: Column, subdivision: Column, question: Column
     )
 
 
+def few_shot_chats(rows: DataFrame, name: str, shots: DataFrame, question: str = "question") -> DataFrame:
+    """Adds ``prompt`` for rows whose dataset has worked examples in front.
+
+    ``rows`` have a subject, ``shots`` (subject, rank, q, gold). Every number of
+    examples that the registry names is one pass over the rows that need it;
+    rows of other styles are not in the result.
+    """
+    counts = sorted({d.shots for d in DATASETS.values() if d.style == "few_shot" and d.shots})
+    parts = []
+    for k in counts:
+        own = rows.where((setting(F.col(name), "style") == "few_shot") & (setting(F.col(name), "shots") == k))
+        lead = pm.few_shot_text(own.withColumn("question", F.col(question)), shots, k)
+        parts.append(lead.withColumn("prompt", pm.render(pm.one_turn(F.col("prompt")))))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def registry_frame(spark) -> DataFrame:
     rows = [(n, d.path, d.domain, d.required) for n, d in DATASETS.items()]
     return spark.createDataFrame(rows, "dataset string, path string, domain string, required boolean")
