@@ -5,7 +5,8 @@ represented by the order of its nearest pivots; each of them posts it, with its
 place, in the pivot's inverted file. A query reads the files of its own nearest
 pivots and ranks what it meets by the footrule distance of the two orders,
 where a pivot beyond the prefix counts as standing just behind it. The best
-``RERANK`` are ranked again by exact cosine.
+``RERANK``, with all that tie with the last of them, are ranked again by exact
+cosine; equal cosines go by vec_id, in the shard as in the end.
 
 Over prefixes of length m the footrule distance is a constant less twice the
 sum of ``m - max(place, place')`` over the pivots that both prefixes hold, so
@@ -87,7 +88,7 @@ def _prefixes(pivots, width: int, m: int):
             near = np.argsort(-(x @ table.T), axis=1, kind="stable")[:, :m].astype(np.int32)
             offsets = pa.array(np.arange(len(near) + 1, dtype=np.int32) * m)
             order = pa.ListArray.from_arrays(offsets, pa.array(near.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), order], ["v", "x", "pivots"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, order], ["v", "x", "least", "pivots"])
 
     return orders
 
@@ -108,7 +109,7 @@ def _answers(width: int, m: int, k: int, rerank: int):
         for table in grouped(batches, ["shard", "block"]):
             table = table.combine_chunks()
             asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-            keys = table.column("v").to_numpy()
+            keys, least = table.column("v").to_numpy(), table.column("least").to_numpy()
             x = _matrix(table.column("x").combine_chunks(), width)
             order = lists(table.column("pivots").combine_chunks())[0].reshape(-1, m)
             entries, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
@@ -127,9 +128,11 @@ def _answers(width: int, m: int, k: int, rerank: int):
                     if p < len(cuts) - 1:
                         file = slice(cuts[p], cuts[p + 1])
                         shared[entry[file]] += m - np.maximum(place[file], at)
-                best = np.argpartition(-shared, limit - 1)[:limit]
-                c = cosines(np.broadcast_to(x[q], (limit, width)), own[best])
-                top = np.lexsort((keys[entries[best]], -c))[:k]
+                # all entries of the last rank that is still among the limit
+                best = np.flatnonzero(shared >= np.partition(shared, len(shared) - limit)[len(shared) - limit])
+                c = cosines(np.broadcast_to(x[q], (len(best), width)), own[best])
+                # every id of an entry is at least its smallest one
+                top = np.lexsort((least[entries[best]], -c))[:k]
                 qs.append(np.full(len(top), keys[q]))
                 vs.append(keys[entries[best[top]]])
                 scores.append(c[top])
@@ -168,7 +171,8 @@ def nearest(rows: DataFrame, every: int = QUERY_EVERY, k: int = K, pivots: int =
     table = _matrix(drawn, width)
     table = table / np.abs(table).max(axis=1, keepdims=True)
     table = spark.sparkContext.broadcast(table / np.linalg.norm(table, axis=1, keepdims=True))
-    index = entries.select("v", "x").mapInArrow(_prefixes(table, width, m), "v long, x array<double>, pivots array<int>")
+    shown = entries.select("v", "x", F.get("ids", F.lit(0)).alias("least"))
+    index = shown.mapInArrow(_prefixes(table, width, m), "v long, x array<double>, least long, pivots array<int>")
     index = stage(index, "index")
     asking = usable.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct()
     wanted = stage(asking.select("v").distinct(), "queries")
@@ -177,8 +181,8 @@ def nearest(rows: DataFrame, every: int = QUERY_EVERY, k: int = K, pivots: int =
     each_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     in_shard = F.pmod(F.xxhash64("v", F.lit(5)), F.lit(shards)).cast("int").alias("shard")
     in_block = F.pmod(F.xxhash64("v", F.lit(6)), F.lit(blocks)).cast("int").alias("block")
-    posts = index.select(in_shard, each_block, F.lit(False).alias("asks"), "v", "x", "pivots")
-    reads = index.join(wanted, "v", "left_semi").select(each_shard, in_block, F.lit(True).alias("asks"), "v", "x", "pivots")
+    posts = index.select(in_shard, each_block, F.lit(False).alias("asks"), "v", "x", "least", "pivots")
+    reads = index.join(wanted, "v", "left_semi").select(each_shard, in_block, F.lit(True).alias("asks"), "v", "x", "least", "pivots")
     dealt = posts.unionAll(reads).repartition("shard", "block").sortWithinPartitions("shard", "block", "asks", "v")
     scored = dealt.mapInArrow(_answers(width, m, k + 1, rerank), "q long, v long, score double")
     scored = scored.join(entries.select("v", "ids"), "v")
