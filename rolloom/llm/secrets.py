@@ -3,10 +3,10 @@
 Three patterns give the base spans. A wider generator proposes every long
 token that mixes letters and digits. Each candidate, base or not, is hashed,
 and the hashes are aggregated over the corpus by distinct repositories and
-owners: what many owners carry is a copied example, what one owner alone
-carries is taken for a live credential. Such owner-specific tokens are added to
-the spans; base spans stay whatever their frequency, and are reported by both
-counts.
+owners: what many owners or many repositories carry is a copied example, what
+one owner alone carries, in few repositories, is taken for a live credential, and
+what lies between is shared. Live tokens are added to the spans; base spans stay
+whatever their frequency. Both counts are returned.
 
 An owner is a ``source``; a repository is a source with a language.
 """
@@ -27,7 +27,7 @@ from rolloom.llm.common import session, stage
 
 KINDS = ["assign", "access", "hex", "token"]
 BASE = 3
-# Owners from which on a value is an example that was copied around.
+# Owners, or repositories, from which on a value is an example copied around.
 COPIED = 3
 # Bits for each character that a proposed token must have at least.
 ENTROPY = 3.0
@@ -88,9 +88,12 @@ def _scan(batches):
 
 
 def secrets(docs: DataFrame, copied: int = COPIED) -> DataFrame:
-    """Per row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` and
-    ``n_live`` and ``n_copied``, its candidates of one owner and of ``copied``
-    owners or more.
+    """Per row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``, the
+    numbers of its candidates by verdict, ``n_live, n_shared, n_copied``, and the
+    most ``owners`` and ``repositories`` that any of them has (0 without any).
+
+    A value is copied from ``copied`` owners or ``copied`` repositories on, live
+    if it is not and has one owner, else shared.
 
     A null text is empty and has no spans; rows with a null id are returned
     too, and rows that repeat count each. A null source or language is a name of
@@ -106,13 +109,17 @@ def secrets(docs: DataFrame, copied: int = COPIED) -> DataFrame:
     pairs = each.select("s.h", "owner", "repository").distinct()
     spread = pairs.groupBy("h").agg(F.count_distinct("owner").alias("owners"), F.count("*").alias("repositories"))
     judged = each.select("rid", "s.*").join(spread, "h")
-    live, many = F.col("owners") == 1, F.col("owners") >= copied
+    many = (F.col("owners") >= copied) | (F.col("repositories") >= copied)
+    live = ~many & (F.col("owners") == 1)
     added = judged.groupBy("rid").agg(
         F.collect_list(F.when(live & (F.col("kind") >= BASE), F.struct("start", "kind", "end"))).alias("added"),
         F.count(F.when(live, 1)).alias("n_live"),
+        F.count(F.when(~many & ~live, 1)).alias("n_shared"),
         F.count(F.when(many, 1)).alias("n_copied"),
+        F.max("owners").alias("owners"),
+        F.max("repositories").alias("repositories"),
     )
     own = F.filter("found", lambda s: s["kind"] < BASE)
     base = F.transform(own, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    more = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_copied")]
+    more = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_shared", "n_copied", "owners", "repositories")]
     return spans.report(found.select("rid", "doc_id", base.alias("base")), added, KINDS, BASE, *more)
