@@ -139,8 +139,11 @@ def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
 def kth_largest(rows: DataFrame, column: str, k: int, collect: int = 10_000) -> float:
     """The k-th largest value, exactly, without a global sort.
 
-    Approximate quantiles bracket it between two values of the table; rows above
-    the bracket are counted and the bracket is narrowed until it is small.
+    Approximate quantiles bracket it between two values of the table. One count
+    of the rows above, at, between, at and below the two says where the k-th is:
+    at one of them it is found, else the rows of that part are gone on with. The
+    two values themselves are out of every part, so each round ends with fewer
+    values, however often they repeat.
     """
     x = F.col(column)
     left, above = rows.select(x), 0
@@ -151,14 +154,15 @@ def kth_largest(rows: DataFrame, column: str, k: int, collect: int = 10_000) ->
             return values[k - above - 1]
         at = 1 - (k - above) / n
         low, high = left.approxQuantile(column, [max(0.0, at - 0.002), min(1.0, at + 0.002)], 0.001)
-        if at - 0.002 <= 0.001:
-            low = left.agg(F.min(x)).first()[0]
-        if at + 0.002 >= 0.999:
-            high = left.agg(F.max(x)).first()[0]
-        if low == high:
-            return low
-        above += left.where(x > high).count()
-        left = left.where((x >= low) & (x <= high))
+        parts = [x > high, x == high, (x < high) & (x > low), (x == low) & (x < high), x < low]
+        counts = left.agg(*[F.count_if(p) for p in parts]).first()
+        for part, count, value in zip(parts, counts, (None, high, None, low, None)):
+            if k - above <= count:
+                break
+            above += count
+        if value is not None:
+            return value
+        left = left.where(part)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int, seed: int):

@@ -181,6 +181,18 @@ def test_copied_secrets_are_told_from_owned_ones(spark):
     assert got[0].n_copied == 1 and got[0].spans == "" and got[9].n_live == 1 and got[9].spans == "token:4:24"
 
 
+def test_both_counts_decide(spark):
+    """One owner with many repositories, two owners, and access keys."""
+    one, two, key = "Zx91kQ0vLm27Tr84Yp55", "Ab12Cd34Ef56Gh78Ij90", "AKIA" + "Q7" * 9
+    rows = [(i, f"use {one} here", f"l{i}", "s1") for i in range(300)] + [(400 + i, f"use {two} here", "en", f"t{i}") for i in range(2)]
+    rows += [(500, f"x {key} y AKIAQ7Q7", "en", "u"), (501, None, None, None), (502, "plain", None, None)]
+    got = {r.doc_id: r for r in secrets.secrets(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert all((got[i].n_live, got[i].n_shared, got[i].n_copied, got[i].owners, got[i].repositories, got[i].spans) == (0, 0, 1, 1, 300, "") for i in range(300))
+    assert all((got[i].n_live, got[i].n_shared, got[i].n_copied, got[i].owners, got[i].repositories) == (0, 1, 0, 2, 2) for i in (400, 401))
+    assert (got[500].n_access, got[500].spans, got[500].n_live) == (1, "access:2:24", 1)
+    assert (got[501].owners, got[502].owners, got[501].n_live) == (0, 0, 0)
+
+
 def plain_pii(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
@@ -257,18 +269,13 @@ def test_quality(spark, docs, none, labels, data):
     assert all(r.selected for r in quality.resampled(docs, labels.limit(0)).collect())
     kept = quality.selected(docs, labels)
     assert kept.columns == docs.columns and any(r.doc_id is None for r in kept.collect())
+    two = spark.createDataFrame([(float(x % 2),) for x in range(600)], "x double")
+    assert [quality.kth_largest(two, "x", k, collect=20) for k in (1, 10, 299, 300, 301, 600)] == [1.0] * 4 + [0.0] * 2
     values = spark.createDataFrame([(float(x % 37),) for x in range(500)], "x double")
     for k in (1, 7, 250, 500):
         assert quality.kth_largest(values, "x", k, collect=20) == sorted((float(x % 37) for x in range(500)), reverse=True)[k - 1]
 
 
-def plain_lines(texts):
-    """Kept lines per row by comparing every two distinct lines."""
-    norm = lambda s: " ".join(words(s))
-    places = [(i, hash(t), n, l) for i, t in texts if i is not None and t is not None for n, l in enumerate(t.split("\n")) if len(words(l)) >= 5]
-    return {norm(l) for *_, l in places}, places
-
-
 def test_lines(docs, none):
     out = lines.deduplicated(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -282,6 +289,7 @@ def test_lines(docs, none):
 
 
 def test_fuzzy_lines(spark):
+    """Lines that differ in one letter of one word are one group, by edit similarity."""
     line = prose(60, 50).split()
     rows = []
     for i in range(30):
@@ -290,15 +298,11 @@ def test_fuzzy_lines(spark):
             w[i] = w[i] + "s"
         rows.append((i, " ".join(w)))
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r.text for r in lines.deduplicated(frame, block=4, bucket=4).collect()}
-    _, _, start, end, at, _, _ = next(lines._words(__import__("pyarrow").array([t for _, t in rows])))
-    data = "".join(t for _, t in rows).encode()
-    hashes = lines.range_hash(lines.sums_before(np.frombuffer(data, np.uint8)), start, end)
-    sims = lines._simhashes(hashes, at)
+    got = {r.doc_id: r.text for r in lines.deduplicated(frame).collect()}
     group = list(range(30))
     for _ in range(30):
-        group = [min(group[j] for j in range(30) if j == i or (int(sims[i] ^ sims[j]).bit_count() <= 3 and lines.similar(rows[i][1], rows[j][1]))) for i in range(30)]
-    assert {i for i, t in got.items() if t} == {i for i in range(30) if group[i] == i}
+        group = [min(group[j] for j in range(30) if lines.similar(rows[i][1], rows[j][1])) for i in range(30)]
+    assert {i for i, t in got.items() if t} == {i for i in range(30) if group[i] == i} == {0}
 
 
 def test_one_word_edits_are_found(spark):
@@ -373,3 +377,13 @@ def test_nearest(spark):
     few = neighbours.nearest(frame.where("vec_id in (0, 1, 2)")).collect()
     assert sorted((r.query_id, r.rank) for r in few) == [(0, 1), (0, 2)]
     assert neighbours.nearest(frame.limit(0)).count() == 0
+
+
+def test_equal_cosines_go_by_id(spark):
+    """One vector times powers of two: forty different vectors, one cosine."""
+    x = np.random.default_rng(4).normal(size=12)
+    rows = [(0, x.tolist())] + [(i, (x * 2.0**i).tolist()) for i in range(1, 41)]
+    rows += [(100 + i, np.random.default_rng(i).normal(size=12).tolist()) for i in range(1, 40)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = neighbours.nearest(frame, rerank=8).where("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5] and len({r.score for r in got}) == 1
