@@ -54,6 +54,11 @@ FIRST = 3
 DEPTH = 8
 LEAF = 256
 BLOCK = 512
+# Texts up to which a shared value is counted pair by pair; columns of a matrix
+# and pairs that are counted at once.
+FEW = 48
+COLUMNS = 4096
+PAIRS = 1 << 22
 # Share of the pairs at the threshold that the runs bring together, even where
 # every node on their way is split down to the last level.
 TARGET = 0.999
@@ -190,6 +195,37 @@ def _closed(rows: DataFrame, leaf: int) -> DataFrame:
     return rows.select("node", "k", part).select(F.xxhash64("node", "part").alias("node"), "k")
 
 
+def shared_counts(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """How many values every two of ``n`` texts share, from distinct ``(text, value)``.
+
+    Values of one text count for no pair and those of all texts for every pair.
+    Of the others, values of many texts are columns of a 0/1 matrix, whose
+    product with itself counts them in blocks of columns; a value of few texts
+    counts for its own pairs one by one.
+    """
+    order = np.argsort(value, kind="stable")
+    text, value = text[order], value[order]
+    at, _ = segments(value)
+    often = np.diff(np.r_[at, len(value)])
+    out = np.full((n, n), int((often == n).sum()), np.int64)
+    many = np.flatnonzero((often > FEW) & (often < n))
+    for low in range(0, len(many), COLUMNS):
+        part = many[low : low + COLUMNS]
+        column = np.repeat(np.arange(len(part)), often[part])
+        place = np.repeat(at[part], often[part]) + np.arange(len(column)) - np.repeat(np.cumsum(often[part]) - often[part], often[part])
+        held = np.zeros((n, len(part)), np.float32)
+        held[text[place], column] = 1
+        out += (held @ held.T).astype(np.int64)
+    for f in range(2, min(FEW, n - 1) + 1):
+        holders = np.flatnonzero(often == f)
+        left, right = np.triu_indices(f, 1)
+        for low in range(0, len(holders), max(1, PAIRS // len(left))):
+            who = text[at[holders[low : low + max(1, PAIRS // len(left))], None] + np.arange(f)]
+            both = np.bincount((who[:, left] * n + who[:, right]).ravel(), minlength=n * n).reshape(n, n)
+            out += both + both.T
+    return out
+
+
 def _exact(batches):
     """Links of each text of a task, and its root among the linked ones.
 
@@ -203,32 +239,22 @@ def _exact(batches):
         block = table.column("block").to_numpy()
         values, offsets = lists(table.column("shingles").combine_chunks())
         n, size = len(keys), np.diff(offsets)
-        _, value = np.unique(values, return_inverse=True)
-        mark = np.zeros(value.max() + 1 if len(value) else 1, np.int32)
-        across = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        shared = shared_counts(np.repeat(np.arange(n), size), values, n)
+        hit = shared >= THRESHOLD * (size[:, None] + size - shared) - 1e-9
+        np.fill_diagonal(hit, False)
+        if table.column("lo")[0].as_py() != table.column("hi")[0].as_py():
+            hit &= block[:, None] != block
+        links = hit @ weight
         order = np.argsort(keys, kind="stable")
-        links = np.zeros(n, np.int64)
         # the label of a linked group is the place of its smallest key
         label = np.empty(n, np.int64)
         label[order] = np.arange(n)
-        for i in range(n):
-            mine = value[offsets[i] : offsets[i + 1]]
-            mark[mine] = 1
-            rest = np.add.reduceat(mark[value[offsets[i] :]], offsets[i:-1] - offsets[i])
-            mark[mine] = 0
-            hit = rest >= THRESHOLD * (size[i] + size[i:] - rest) - 1e-9
-            hit[0] = False
-            if across:
-                hit &= block[i:] != block[i]
-            linked = np.flatnonzero(hit) + i
-            if len(linked):
-                links[i] += weight[linked].sum()
-                links[linked] += weight[i]
-                met = np.unique(label[np.r_[i, linked]])
-                if len(met) > 1:
-                    label[np.isin(label, met)] = met[0]
+        for i in np.flatnonzero(hit.any(axis=1)).tolist():
+            met = np.unique(label[np.r_[i, np.flatnonzero(hit[i])]])
+            if len(met) > 1:
+                label[np.isin(label, met)] = met[0]
         root = keys[order][label]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(links), pa.array(root)], ["k", "links", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(links.astype(np.int64)), pa.array(root)], ["k", "links", "root"])
 
 
 def _sets(batches):

@@ -75,6 +75,20 @@ def test_jaccard_links(docs, none):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4, 5, 6, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17]
 
 
+def test_shared_counts(monkeypatch):
+    """Values of one, few, many and all texts, in several blocks of columns."""
+    r = np.random.default_rng(3)
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    monkeypatch.setattr(jaccard, "PAIRS", 50)
+    for n, few in ((1, 48), (2, 48), (9, 3), (60, 48), (60, 5)):
+        monkeypatch.setattr(jaccard, "FEW", few)
+        sets = [np.unique(np.r_[r.integers(0, 40, r.integers(1, 40)), 1000, 2000 + i]) for i in range(n)]
+        got = jaccard.shared_counts(np.repeat(np.arange(n), [len(s) for s in sets]), np.concatenate(sets), n)
+        for i, j in itertools.product(range(n), repeat=2):
+            if i != j:
+                assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
 def test_crowded_nodes_and_blocks(spark):
     base = prose(200, 20).split()
     rows = []
@@ -323,6 +337,32 @@ def test_one_word_edits_are_found(spark):
     assert all(left[2 * i] for i in range(300)) and all(left[2 * i + 1] for i in set(range(300)) - set(near))
 
 
+def test_posts_agree_however_they_are_dealt(spark):
+    """Packed parts, parts too large to pack, and crowded posts in blocks."""
+    r = random.Random(31)
+    line = prose(30, 1).split()
+    rows = []
+    for i in range(60):
+        w = list(line)
+        w[r.randrange(30)] = f"w{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, prose(12, 600 + i)) for i in range(200)]
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "t": [0] * len(rows), "text": [t for _, t in rows]})
+    (scanned,) = lines._scan([batch])
+    kinds = spark.createDataFrame(list(zip(scanned.column("sim").to_pylist(), scanned.column("bands").to_pylist())), "sim long, bands array<int>").repartition(3)
+
+    def groups(**limits):
+        forest, found = {}, lines.near_hashes(kinds, **limits).collect()
+        top = lambda x: x if forest.get(x, x) == x else top(forest[x])
+        for e in found:
+            forest[max(top(e.u), top(e.v))] = min(top(e.u), top(e.v))
+        return {s: top(s) for s in scanned.column("sim").to_pylist()}
+
+    whole = groups()
+    assert len({whole[s] for s in scanned.column("sim").to_pylist()[:60]}) == 1
+    assert groups(part=100) == groups(part=1) == groups(part=1, bucket=4) == whole
+
+
 def test_short_lines_lose_exact_copies(spark):
     rows = [(1, "All rights reserved\none\n\nAll rights kept"), (2, "all RIGHTS reserved.\nnew\n\none"), (3, "one two three four\none two three fours")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
