@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolloom.functions import text as tx
+from rolloom.functions.extract import json_answer
+
+OBJECT = "map<string,string>"
 
 
 def attribute_key(c: Column) -> Column:
@@ -63,24 +66,65 @@ def answer_cells(replies: DataFrame, answer: str) -> DataFrame:
     ``{"solution": [{...}, ...]}`` in house order. Adds ``house`` (its
     label), ``attr``, ``val`` and ``ord``.
     """
-    objects = "map<string,string>"
-    top = F.from_json(F.col(answer), objects)
+    rows = replies.select("*", F.explode(_houses(F.col(answer))).alias("h"))
+    # the label without the word and its separators: "House 1", "house_1", "#1"
+    bare = F.regexp_replace("h.key", rf"(?i)\A(?:house)?[{tx.SPACE}_#]*", "")
+    label = F.coalesce(tx.first_match(bare, r"([0-9]+)"), bare)
+    rows = rows.select("*", label.alias("house"), F.from_json("h.value", OBJECT).alias("cells"))
+    return rows.select("*", F.posexplode("cells").alias("ord", "attr", "val")).drop("h", "cells")
+
+
+def _houses(answer: Column) -> Column:
+    """Names and contents of a reply's houses in their order; NULL if it has none."""
+    top = F.from_json(answer, OBJECT)
     solution = F.try_element_at(top, F.lit("solution"))
-    nested = F.from_json(solution, objects)
+    nested = F.from_json(solution, OBJECT)
     has_house = F.exists(F.map_keys(top), lambda k: F.contains(F.lower(k), F.lit("house")))
     listed = F.from_json(solution, "array<string>")
     by_place = F.transform(
         listed, lambda h, i: F.struct(F.concat(F.lit("House "), (i + 1).cast("string")).alias("key"), h.alias("value"))
     )
     is_list = F.startswith(F.ltrim(solution), F.lit("["))
-    houses = (
+    return (
         F.when(F.startswith(F.ltrim(solution), F.lit("{")), F.map_entries(nested))
         .when(has_house, F.map_entries(top))
         .when(is_list, by_place)
     )
-    rows = replies.select("*", F.explode(houses).alias("h"))
-    # the label without the word and its separators: "House 1", "house_1", "#1"
-    bare = F.regexp_replace("h.key", rf"(?i)\A(?:house)?[{tx.SPACE}_#]*", "")
-    label = F.coalesce(tx.first_match(bare, r"([0-9]+)"), bare)
-    rows = rows.select("*", label.alias("house"), F.from_json("h.value", objects).alias("cells"))
-    return rows.select("*", F.posexplode("cells").alias("ord", "attr", "val")).drop("h", "cells")
+
+
+# The names under which a reply may speak of a house.
+HOUSE_NAMES = ["House {}", "house {}", "House{}", "house_{}", "{}", "#{}"]
+
+
+def _house_named(houses: Column, label: Column) -> Column:
+    """Contents of the house with a label: by its usual names, in their order.
+
+    If none of them occurs, the first name that holds the label anywhere counts,
+    as "Building 1" for the label 1.
+    """
+
+    def first(test) -> Column:
+        fits = lambda h: test(h["key"]) & F.startswith(F.ltrim(h["value"]), F.lit("{"))
+        return F.try_element_at(F.filter(houses, fits), F.lit(1))["value"]
+
+    usual = [F.concat(*[label if part is None else F.lit(part) for part in _around(name)]) for name in HOUSE_NAMES]
+    return F.coalesce(*[first(lambda key, u=u: key == u) for u in usual], first(lambda key: F.contains(key, label)))
+
+
+def _around(name: str) -> list[str | None]:
+    before, after = name.split("{}")
+    return [p for p in (before, None, after) if p != ""]
+
+
+def judged_replies(replies: DataFrame, gold: DataFrame, reply: str = "reply") -> DataFrame:
+    """From the text of a reply to its verdict: ``puzzle, solved, cells``.
+
+    ``replies`` has one row for each puzzle, ``gold`` the true cells ``(puzzle,
+    house, attr, val)``. Every puzzle with true cells is judged; a reply without
+    JSON, without houses or without one of the houses is wrong.
+    """
+    parsed = replies.select("puzzle", _houses(json_answer(F.col(reply))).alias("houses"))
+    wanted = gold.select("puzzle", "house").distinct().join(parsed, "puzzle")
+    picked = wanted.select("puzzle", "house", F.from_json(_house_named(F.col("houses"), F.col("house")), OBJECT).alias("cells"))
+    named = picked.select("puzzle", "house", F.posexplode("cells").alias("ord", "attr", "val"))
+    return exact_match(gold, named)

@@ -26,6 +26,16 @@ def top_tokens(rows: DataFrame, value: str, k: int, keep_ties: bool = False) ->
     return rows.withColumn("_rank", order).filter(F.col("_rank") <= k).drop("_rank")
 
 
+def top_tokens_marked(rows: DataFrame, value: str, k: int, name: str = "exact") -> DataFrame:
+    """All tokens that reach the k-th value; ``name`` marks the k of the exact choice.
+
+    Both ranks come from one sort of each position.
+    """
+    place = F.row_number().over(_ranked(value, "token_id"))
+    marked = rows.withColumn("_place", place).withColumn("_rank", F.rank().over(_ranked(value)))
+    return marked.filter(F.col("_rank") <= k).withColumn(name, F.col("_place") <= k).drop("_place", "_rank")
+
+
 def argmax_token(rows: DataFrame, value: str) -> DataFrame:
     """Likeliest token of each position, the lowest id among equals."""
     best = F.max_by("token_id", F.struct(F.col(value), -F.col("token_id")))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolloom.functions import text as tx
+from rolloom.operators.ordered import keyed_index
+from rolloom.operators.reshape import PART, regroup
 
 # Dataset labels with another canonical name.
 DOMAIN_ALIASES = {"math": "math", "science": "mc", "mc": "mc", "code": "code"}
@@ -132,6 +134,30 @@ def kept_per_split(problems: DataFrame, tests: DataFrame) -> DataFrame:
     return total.join(kept, "split", "left").select("split", F.coalesce("kept", F.lit(0)).alias("kept"), "total")
 
 
+def contest_records(problems: DataFrame, tests: DataFrame, question: Column, part_size: int = PART) -> DataFrame:
+    """Complete records of the kept problems, as the reward stage reads them.
+
+    Inputs and outputs are lists in the order of the tests, and of their texts
+    where the order has ties. A problem with more
+    than ``part_size`` tests has several rows, numbered by ``part``, so that no
+    task builds an unbounded list; the place of a test among those of its
+    problem comes from ranges of all tests, not from a window over the problem.
+    """
+    kept = keep_contest_problems(problems, tests).select(
+        F.col("id").alias("task_id"),
+        question.alias("question"),
+        deadline(F.col("time_limit")).alias("test_time_limit"),
+        F.lit("stdio").alias("test_method"),
+        "rating",
+        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
+        F.lit("codeforces").alias("platform"),
+    )
+    own = tests.join(kept.select(F.col("task_id").alias("id")), "id", "left_semi")
+    plain = own.select("id", "ord", line_ends(F.col("input")).alias("test_input"), line_ends(F.col("output")).alias("test_output"))
+    lists = regroup(keyed_index(plain, ["id"], ["ord", "test_input", "test_output"], "n"), "id", "n", ["test_input", "test_output"], part_size)
+    return kept.join(lists.withColumnRenamed("id", "task_id"), "task_id")
+
+
 def write_split(problems: DataFrame, tests: DataFrame, split: str, path: str, cap: int | None = None) -> dict[str, int]:
     """Writes the kept problems of a split and returns ``total, fit, kept``.
 
@@ -271,6 +297,7 @@ def mixed_records(rows: DataFrame) -> DataFrame:
     return rows.select(
         "id",
         strip_instruction(F.col("domain"), F.col("input")).alias("question"),
+        F.col("answer").alias("ground_truth_answer"),
         "domain",
         "source",
         F.when(tx.strip(F.col("tests")) != "", F.col("tests")).alias("tests_json"),

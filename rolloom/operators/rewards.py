@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolloom.session import work_dir
+
 MARGIN = 5  # fixed value: tokens below the cap that still count as cut off
 
 
@@ -17,6 +19,19 @@ def capped(correct: Column, n_tokens: Column, cap: Column) -> Column:
     return correct & ~F.coalesce(hit, F.lit(False))
 
 
+def narrowed(rows: DataFrame, *columns: str | Column) -> DataFrame:
+    """Keys and verdicts alone, worked out once and written to the shared folder.
+
+    Statistics of a key are joined back to its rows, so these are read twice.
+    Where a verdict comes from a long text, that text would be read and searched
+    twice as well; from here on only the narrow rows are.
+    """
+    narrow = rows.select(*columns)
+    path = work_dir(rows.sparkSession, "narrow")
+    narrow.write.parquet(path)
+    return rows.sparkSession.read.schema(narrow.schema).parquet(path)
+
+
 def z_scored(rows: DataFrame, key: str, value: str, name: str = "reward") -> DataFrame:
     """Value minus the key's mean, over its population deviation; 0 if constant.
 

@@ -141,13 +141,25 @@ def coupled(rows: DataFrame, mask: str) -> DataFrame:
 def mixed_rows(
     rows: DataFrame, key: str, seed: int, low: float, high: float, k: int = 1, size: int = 4, draws: Draws = FAST
 ) -> DataFrame:
-    """Teacher rows get one random mask, student rows their rounds."""
-    rows = rows.withColumn("source", F.coalesce("source", F.lit("student")))
-    is_teacher = F.col("source") == "teacher"
-    student = expand_rounds(rows.filter(~is_teacher), k=k, size=size)
+    """Teacher rows get one random mask, student rows their rounds, in one pass."""
+    source = F.coalesce("source", F.lit("student"))
+    is_teacher = source == "teacher"
     mask = range_random_mask(F.col(key), F.size("step_map"), low, high, seed, draws)
-    teacher = rows.filter(is_teacher).select("*", F.lit(1).alias("round"), mask.alias("target"))
-    return student.unionByName(teacher.withColumn("noise", F.col("target")))
+    # a teacher's row has a single round and no ranks, a student's row no mask
+    ranked = rows.select(
+        *[source.alias(c) if c == "source" else c for c in rows.columns],
+        F.when(~is_teacher, rounds(F.col("step_map"), k, size)).alias("_r"),
+        F.when(is_teacher, mask).alias("_m"),
+    )
+    count = F.when(F.col("source") == "teacher", F.lit(1)).otherwise(F.array_max("_r"))
+    each = ranked.withColumn("round", F.explode(F.transform(_positions(count), lambda i: i + 1)))
+    t = F.col("round")
+    return each.select(
+        *rows.columns,
+        "round",
+        F.coalesce("_m", F.transform("_r", lambda r: r == t)).alias("target"),
+        F.coalesce("_m", F.transform("_r", lambda r: r >= t)).alias("noise"),
+    )
 
 
 # --- token rows --------------------------------------------------------------

@@ -59,6 +59,7 @@ SELECT doc_id AS id, domain, source,
                      ELSE concat('Preamble line.', chr(10), chr(10), body) END
     ELSE body END AS input,
   CASE WHEN domain = 'code' THEN '["assert f(1) == 2"]' WHEN domain = 'chat' THEN '  ' END AS tests,
+  CASE WHEN domain = 'chat' THEN NULL ELSE concat(source, ': ', CAST(doc_id % 97 AS STRING)) END AS answer,
   concat('lang_', CASE WHEN doc_id % 2 = 0 THEN 'cn' ELSE 'en' END) AS subdivision
 FROM (SELECT doc_id, source, text AS body,
         CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'math' WHEN 1 THEN 'science' WHEN 2 THEN 'code' WHEN 3 THEN 'chat' END AS domain
@@ -92,7 +93,7 @@ SELECT p_partkey AS id, p_name AS title,
   CASE WHEN p_partkey % 13 = 0 THEN 'file' ELSE 'stdio' END AS input_mode, p_partkey % 17 <> 0 AS executable,
   CASE WHEN p_partkey % 19 = 0 THEN 'dialog' END AS interaction_format, CASE WHEN p_partkey % 23 = 0 THEN 'checker' END AS generated_checker,
   CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 29 = 0 THEN 0.0e0 ELSE CAST(p_size AS DOUBLE) / 10e0 END AS time_limit,
-  800 + p_size * 10 AS rating,
+  800 + p_size * 10 AS rating, split(p_type, ' ') AS tags,
   CASE WHEN p_partkey % 2 = 0 THEN 'test' ELSE 'train' END AS split
 FROM part
 """

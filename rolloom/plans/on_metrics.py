@@ -201,19 +201,19 @@ def pass_table(v):
 
 @query(
     "g11_instance_grades",
-    f"SELECT sample_id, CAST(0 AS INT) AS part, string_agg(CASE WHEN solved THEN '1' ELSE '0' END, '' ORDER BY resp_idx) AS grades FROM ({_SQL_CAND}) c GROUP BY sample_id",
+    f"SELECT sample_id, CAST(resp_idx // 4 AS INT) AS part, string_agg(CASE WHEN solved THEN '1' ELSE '0' END, '' ORDER BY resp_idx) AS grades FROM ({_SQL_CAND}) c GROUP BY sample_id, resp_idx // 4",
 )
 def instance_grades(v):
     from rolloom.operators.reshape import regroup
 
-    grades = regroup(vd.per_candidate(v.f_verd), "sample_id", "resp_idx", ["solved"])
+    grades = regroup(vd.per_candidate(v.f_verd), "sample_id", "resp_idx", ["solved"], part_size=4)
     bits = F.transform("solved", lambda s: F.when(s, "1").otherwise("0"))
     return grades.select("sample_id", "part", F.array_join(bits, "").alias("grades")).orderBy("sample_id", "part")
 
 
 @query(
     "g12_results_by_problem",
-    f"SELECT sample_id, CAST(0 AS INT) AS part, string_agg(concat(CAST(n_passed AS VARCHAR), '/', CAST(n_tests AS VARCHAR)), ' ' ORDER BY resp_idx) AS results FROM ({_SQL_CAND}) c GROUP BY sample_id",
+    f"SELECT sample_id, CAST(resp_idx // 3 AS INT) AS part, string_agg(concat(CAST(n_passed AS VARCHAR), '/', CAST(n_tests AS VARCHAR)), ' ' ORDER BY resp_idx) AS results FROM ({_SQL_CAND}) c GROUP BY sample_id, resp_idx // 3",
 )
 def results_by_problem(v):
     from rolloom.operators.reshape import regroup
@@ -221,7 +221,7 @@ def results_by_problem(v):
     rows = vd.per_candidate(v.f_verd).withColumn(
         "result", F.concat(F.col("n_passed").cast("string"), F.lit("/"), F.col("n_tests").cast("string"))
     )
-    grouped = regroup(rows, "sample_id", "resp_idx", ["result"])
+    grouped = regroup(rows, "sample_id", "resp_idx", ["result"], part_size=3)
     return grouped.select("sample_id", "part", F.array_join("result", " ").alias("results"))
 
 
@@ -339,7 +339,7 @@ def _judged(v):
         F.col("source").alias("category"), F.col("n_chars").alias("n_tokens"),
     )
     judged = rows.withColumn("correct", ck.same_letter(F.col("letter"), F.col("gold")))
-    return judged.drop("letter", "gold").join(facts, "resp_id")
+    return rw.narrowed(judged, "resp_id", "sample_id", "domain", "correct").join(facts, "resp_id")
 
 
 @query(

@@ -114,16 +114,18 @@ def contest_tests(v):
 
 @query(
     "b06_contest_records",
-    f"""SELECT id AS task_id, {_sql_statement()} AS question, {_SQL_DEADLINE} AS test_time_limit, 'stdio' AS test_method, rating FROM f_cf
-        WHERE {_SQL_KEEP}""",
+    f"""SELECT id AS task_id, {_sql_statement()} AS question, {_SQL_DEADLINE} AS test_time_limit, 'stdio' AS test_method, rating,
+          array_to_string(tags, ',') AS tags, 'codeforces' AS platform, part, inputs, outputs
+        FROM f_cf p JOIN (SELECT id AS tid, CAST((n - 1) // 7 AS INT) AS part, string_agg(i, '|' ORDER BY n) AS inputs, string_agg(o, '|' ORDER BY n) AS outputs
+              FROM (SELECT id, {_sql_lines('input')} AS i, {_sql_lines('output')} AS o,
+                      row_number() OVER (PARTITION BY id ORDER BY ord, {_sql_lines('input')}, {_sql_lines('output')}) AS n FROM f_cf_tests) t
+              GROUP BY id, (n - 1) // 7) t ON tid = id WHERE {_SQL_KEEP}""",
 )
 def contest_records(v):
-    return pr.keep_contest_problems(v.f_cf, v.f_cf_tests).select(
-        F.col("id").alias("task_id"),
-        _statement().alias("question"),
-        pr.deadline(F.col("time_limit")).alias("test_time_limit"),
-        F.lit("stdio").alias("test_method"),
-        "rating",
+    rows = pr.contest_records(v.f_cf, v.f_cf_tests, _statement(), part_size=7)
+    return rows.select(
+        "task_id", "question", "test_time_limit", "test_method", "rating", F.array_join("tags", ",").alias("tags"), "platform", "part",
+        F.array_join("test_input", "|").alias("inputs"), F.array_join("test_output", "|").alias("outputs"),
     )
 
 
@@ -253,7 +255,7 @@ def strip_instruction(v):
 
 @query(
     "b13_mixed_records",
-    f"""SELECT id, {sql_stripped()} AS question, domain, source, CASE WHEN {sql_strip('tests')} <> '' THEN tests END AS tests_json FROM f_mix""",
+    f"""SELECT id, {sql_stripped()} AS question, answer AS ground_truth_answer, domain, source, CASE WHEN {sql_strip('tests')} <> '' THEN tests END AS tests_json FROM f_mix""",
 )
 def mixed_records(v):
     return pr.mixed_records(v.f_mix)

@@ -28,11 +28,11 @@ def flatten_lists(v):
 
 @query(
     "f02_regroup_in_order",
-    """SELECT sample_id, CAST(0 AS INT) AS part, string_agg(CAST(n_tokens AS VARCHAR), ',' ORDER BY resp_idx) AS lengths,
-       string_agg(CASE WHEN correct THEN '1' ELSE '0' END, '' ORDER BY resp_idx) AS verdicts FROM f_roll GROUP BY sample_id""",
+    """SELECT sample_id, CAST(resp_idx // 3 AS INT) AS part, string_agg(CAST(n_tokens AS VARCHAR), ',' ORDER BY resp_idx) AS lengths,
+       string_agg(CASE WHEN correct THEN '1' ELSE '0' END, '' ORDER BY resp_idx) AS verdicts FROM f_roll GROUP BY sample_id, resp_idx // 3""",
 )
 def regroup(v):
-    rows = rs.regroup(v.f_roll, "sample_id", "resp_idx", ["n_tokens", "correct"])
+    rows = rs.regroup(v.f_roll, "sample_id", "resp_idx", ["n_tokens", "correct"], part_size=3)
     bits = F.transform("correct", lambda c: F.when(c, "1").otherwise("0"))
     return rows.select(
         "sample_id", "part", F.array_join("n_tokens", ",").alias("lengths"), F.array_join(bits, "").alias("verdicts")

@@ -151,11 +151,8 @@ def row_cap(v):
 )
 def top_tokens(v):
     rows = v.f_lp.select("seq", "pos", "token_id", "t_logit")
-    exact = lp.top_tokens(rows, "t_logit", 8).select("seq", "pos", "token_id", F.lit(True).alias("exact"))
-    tied = lp.top_tokens(rows, "t_logit", 8, keep_ties=True)
-    return tied.join(exact, ["seq", "pos", "token_id"], "left").select(
-        "seq", "pos", "token_id", F.round("t_logit", 9).alias("t_logit"), F.coalesce("exact", F.lit(False)).alias("exact")
-    )
+    marked = lp.top_tokens_marked(rows, "t_logit", 8)
+    return marked.select("seq", "pos", "token_id", F.round("t_logit", 9).alias("t_logit"), "exact")
 
 
 @query(

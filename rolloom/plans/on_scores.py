@@ -179,6 +179,39 @@ def grid_match(v):
     return grids.exact_match(gold, pred)
 
 
+# Replies about two houses for every customer: prose and JSON in five shapes, the
+# first house named by its label, as a building, or not at all.
+_REPLY_VALUE = "CASE WHEN c_custkey % 11 = 4 THEN 'nobody' ELSE concat(' ', upper(c_mktsegment), ' ') END"
+_REPLY_HOUSE = """CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN 'House 1' WHEN 1 THEN 'house_1' WHEN 2 THEN '#1' WHEN 3 THEN 'Building 1' ELSE 'Garden' END"""
+_REPLY_CELLS = f"""concat('{{"Owner-Trade": "', {_REPLY_VALUE}, '", "nation": ', CAST(c_nationkey AS STRING), '}}')"""
+_REPLY_SECOND = f"""concat('{{"the_owner_trade": "', lower(c_mktsegment), '", "Nation": "', CAST(c_nationkey + c_custkey % 7 - c_custkey % 7 AS STRING), '"}}')"""
+_REPLY_OBJECT = f"""concat('{{"', {_REPLY_HOUSE}, '": ', {_REPLY_CELLS}, ', "House 2": ', {_REPLY_SECOND}, '}}')"""
+_REPLIES = f"""SELECT c_custkey AS puzzle, c_mktsegment AS trade, c_nationkey AS nation, CASE CAST(c_custkey % 4 AS INT)
+    WHEN 0 THEN concat('I think: {{"solution": ', {_REPLY_OBJECT}, '}} as asked')
+    WHEN 1 THEN concat(repeat(chr(96), 3), 'json', chr(10), '{{"reasoning": "}} {{", "solution": ', {_REPLY_OBJECT}, '}}', chr(10), repeat(chr(96), 3))
+    WHEN 2 THEN concat('So ', {_REPLY_OBJECT})
+    ELSE concat('{{"solution": [', {_REPLY_CELLS}, ', ', {_REPLY_SECOND}, ']}}') END AS reply FROM customer"""
+
+
+@query(
+    "e08_reply_to_verdict",
+    f"""WITH r AS (SELECT *, nullif(regexp_extract(reply, '(?s)"(?:House 1|house_1|#1|Building 1)": (\\{{.*?\\}})', 1), '') AS named, reply LIKE '%"solution": [%' AS listed FROM ({_REPLIES}) x),
+      h AS (SELECT *, CASE WHEN listed THEN regexp_extract(reply, '\\[(\\{{.*?\\}})', 1) ELSE named END AS first,
+              regexp_extract(reply, '.*(\\{{"the_owner_trade".*?\\}})', 1) AS second FROM r)
+    SELECT puzzle, coalesce(lower(trim(json_extract_string(first, '$."Owner-Trade"'))) = lower(trade) AND json_extract_string(first, '$.nation') = CAST(nation AS VARCHAR)
+        AND lower(trim(json_extract_string(second, '$.the_owner_trade'))) = lower(trade) AND json_extract_string(second, '$.Nation') = CAST(nation AS VARCHAR), false) AS solved,
+      CAST(4 AS BIGINT) AS cells FROM h""",
+)
+def reply_to_verdict(v):
+    replies = v.sql(_REPLIES)
+    cells = F.array(
+        *[F.struct(F.lit(h).alias("house"), F.lit(a).alias("attr"), F.col(c).cast("string").alias("val"))
+          for h in ("1", "2") for a, c in (("Owner Trade", "trade"), ("Nation", "nation"))]
+    )
+    gold = replies.select("puzzle", F.explode(cells).alias("c")).select("puzzle", "c.house", "c.attr", "c.val")
+    return grids.judged_replies(replies, gold)
+
+
 @query(
     "e08_grid_answer_cells",
     """SELECT c_custkey AS puzzle, CAST(h AS VARCHAR) AS house, a AS attr,

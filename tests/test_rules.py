@@ -134,3 +134,52 @@ def test_frames_are_judged_whole(spark, tmp_path):
     assert got == {x: x > 5 and x != 13 for x in range(40)}
     fine = pl.scored_by_frames(frame.where("x <> 13"), lambda f: pd.Series([None, *[True] * (len(f) - 1)]))
     assert sum(r.correct for r in fine.collect()) == 38
+
+
+def test_houses_by_any_name(spark):
+    """Usual names win over names that only hold the label; a missing house fails."""
+    from rolloom.operators import grids
+
+    cell = lambda v: {"Pet Kind": v}
+    import json
+
+    replies = {
+        1: {"solution": {"House 1": cell("Cat"), "House 2": cell(" dog ")}},
+        2: {"Building 1": cell("cat"), "house_2": cell("dog")},
+        3: {"solution": [cell("cat"), cell("dog")]},
+        4: {"solution": {"Building 2": cell("cat"), "House 1": cell("cat"), "#2": cell("dog")}},
+        5: {"solution": {"Building 21": cell("cat"), "2": cell("dog")}},
+        6: {"solution": {"House 1": cell("cat")}},
+        7: {"solution": {"House 1": "cat", "House 2": cell("dog")}},
+        8: {"solution": {"House 1": {"pet": "cat"}, "House 2": {"the pet_kind": "dog"}}},
+        9: {"other": 1},
+    }
+    rows = [(k, "well: " + json.dumps(r)) for k, r in replies.items()] + [(10, "no json"), (11, None)]
+    gold = [(p, h, "pet kind", v) for p in range(1, 13) for h, v in (("1", "cat"), ("2", "dog"))]
+    got = grids.judged_replies(spark.createDataFrame(rows, "puzzle int, reply string"), spark.createDataFrame(gold, "puzzle int, house string, attr string, val string"))
+    assert {r.puzzle for r in got.collect() if r.solved} == {1, 2, 3, 4, 5, 8} and got.count() == 12
+
+
+def test_complete_contest_records(spark, data):
+    from rolloom.plans.base import Inputs
+
+    v = Inputs(spark, data)
+    rows = pr.contest_records(v.f_cf, v.f_cf_tests, F.col("title"), part_size=5).collect()
+    tests = {}
+    for r in v.f_cf_tests.collect():
+        tests.setdefault(r.id, []).append((r.ord, (r.input or "").replace("\r\n", "\n").replace("\r", "\n"), (r.output or "").replace("\r\n", "\n").replace("\r", "\n")))
+    tests = {i: [x[1:] for x in sorted(found)] for i, found in tests.items()}
+    kept = {r.id for r in pr.keep_contest_problems(v.f_cf, v.f_cf_tests).collect()}
+    assert {r.task_id for r in rows} == kept
+    for r in rows:
+        assert list(zip(r.test_input, r.test_output)) == tests[r.task_id][5 * r.part : 5 * r.part + 5] != []
+        assert r.platform == "codeforces" and r.test_method == "stdio" and r.tags
+
+
+def test_verdicts_are_read_once(spark, data):
+    """The responses are searched before the result's plan, which reads narrow rows."""
+    import __spark_entry__ as entry
+
+    for name in ("g01_reward_from_responses", "g05_accuracy_from_responses"):
+        plan = entry.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract" not in plan and "response" not in plan.lower()
