@@ -149,18 +149,18 @@ f_tok = (
     f"SELECT doc_id AS resp_id, 6 AS prompt_len, list_transform(range(0, 20), lambda p: CAST({_TOKEN} AS INT)) AS tokens FROM documents",
 )
 
+# The second model's values are the first one's in reverse order: every row has
+# its partner in itself.
 f_lp = (
     """
 SELECT CAST(label AS BIGINT) AS seq, vec_id AS pos, token_id, CAST(pair.t AS DOUBLE) AS t_logit, CAST(pair.s AS DOUBLE) AS s_logit
-FROM (SELECT e.label, e.vec_id, posexplode(transform(e.embedding, (x, i) -> struct(x AS t, s.embedding[i] AS s))) AS (token_id, pair)
-      FROM (SELECT *, CASE WHEN vec_id = (SELECT max(vec_id) FROM embeddings) THEN (SELECT min(vec_id) FROM embeddings)
-              ELSE vec_id + 1 END AS next_id FROM embeddings) e JOIN embeddings s ON s.vec_id = e.next_id) x
+FROM (SELECT label, vec_id, posexplode(transform(embedding, (x, i) -> struct(x AS t, embedding[size(embedding) - 1 - i] AS s))) AS (token_id, pair)
+      FROM embeddings) x
 """,
     """
 SELECT CAST(e.label AS BIGINT) AS seq, e.vec_id AS pos, CAST(g.i - 1 AS INT) AS token_id,
-  CAST(e.embedding[g.i] AS DOUBLE) AS t_logit, CAST(s.embedding[g.i] AS DOUBLE) AS s_logit
-FROM (SELECT *, CASE WHEN vec_id = (SELECT max(vec_id) FROM embeddings) THEN (SELECT min(vec_id) FROM embeddings)
-        ELSE vec_id + 1 END AS next_id FROM embeddings) e JOIN embeddings s ON s.vec_id = e.next_id, LATERAL (SELECT unnest(range(1, len(e.embedding) + 1)) AS i) g
+  CAST(e.embedding[g.i] AS DOUBLE) AS t_logit, CAST(e.embedding[len(e.embedding) + 1 - g.i] AS DOUBLE) AS s_logit
+FROM embeddings e, LATERAL (SELECT unnest(range(1, len(e.embedding) + 1)) AS i) g
 """,
 )
 
