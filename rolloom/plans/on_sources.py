@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rolloom.plans.base import query
@@ -27,18 +28,25 @@ def json_arrays(v):
     return fs.read_json_arrays(v.spark, path, _DOC).select("doc_id", "text", "lang")
 
 
+def _arrays_of(docs, key):
+    """Lines of one array for each key, its brackets on the first and last record.
+
+    The brackets come from the order of the rows themselves: as rows of their own
+    they could be written by another task than the records.
+    """
+    numbered = docs.select("doc_id", "text", "lang", key.alias("key"))
+    order = Window.partitionBy("key").orderBy("doc_id")
+    n, last = F.row_number().over(order), F.lead(F.lit(True)).over(order).isNull()
+    placed = numbered.select("key", F.to_json(F.struct("doc_id", "text", "lang")).alias("record"), n.alias("n"), last.alias("last"))
+    value = F.concat(F.when(F.col("n") == 1, "[").otherwise(","), F.col("record"), F.when(F.col("last"), "]").otherwise(""))
+    return placed.select("key", "n", value.alias("value")).sortWithinPartitions("key", "n").select("key", "value")
+
+
 @query("a01_large_arrays", "SELECT doc_id, text, lang FROM documents")
 def large_arrays(v):
     """One array for each language, a few large files, converted to Parquet."""
     path, table = work_dir(v.spark, "array"), work_dir(v.spark, "converted")
-    docs = v.table("documents")
-    first = docs.groupBy(F.coalesce("lang", F.lit("")).alias("key")).agg(F.min("doc_id").alias("first"))
-    rows = docs.join(first, F.coalesce("lang", F.lit("")) == F.col("key"))
-    mark = F.when(F.col("doc_id") == F.col("first"), "[").otherwise(",")
-    lines = rows.select("key", F.col("doc_id").alias("n"), F.concat(mark, F.to_json(F.struct("doc_id", "text", "lang"))).alias("value"))
-    ends = first.select("key", F.lit(2**63 - 1).alias("n"), F.lit("]").alias("value"))
-    dealt = lines.unionAll(ends).repartition("key").sortWithinPartitions("key", "n")
-    dealt.select("key", "value").write.partitionBy("key").text(path)
+    _arrays_of(v.table("documents"), F.coalesce("lang", F.lit(""))).write.partitionBy("key").text(path)
     return arrays.to_parquet(v.spark, path, _DOC, table)
 
 

@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+import __spark_entry__ as entry
 from rolloom.sources import arrays, files
 
 SCHEMA = "id bigint, text string, tags array<string>, more struct<x:double,y:map<string,int>>"
@@ -83,3 +84,11 @@ def test_a_cut_file_fails_wherever_it_is_cut(spark, tmp_path, small_ranges):
             f.write(whole[:cut])
         with pytest.raises(Exception):
             print(cut, arrays.array_elements(spark, path).count())
+
+
+def test_arrays_of_a_table_with_repeated_and_missing_ids(spark, tmp_path):
+    """Each language is one whole array, whichever task writes it and however ids repeat."""
+    docs = [(i // 2 if i % 5 else None, f"a, [{i}] \"b", ["en", "de", "", None][i % 4]) for i in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = entry.queries()["a01_large_arrays"](spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, docs))
