@@ -93,6 +93,20 @@ def test_relational_scores_equal_those_of_sorted_suffixes(spark):
     assert repeats.repeat_scores(frame.limit(0), "t").count() == 0
 
 
+def test_relational_scores_over_many_rounds_and_few_tables(spark, monkeypatch):
+    """Long repeats take further rounds; texts without them none."""
+    written, plain = [], repeats._written
+    monkeypatch.setattr(repeats, "_written", lambda rows, label: written.append(label) or plain(rows, label))
+    rng = random.Random(4)
+    noise = "".join(chr(rng.randint(97, 122)) for _ in range(400))
+    frame = spark.createDataFrame([(noise,), (noise[:200] + noise[:31],)], "t string")
+    assert [r.score for r in repeats.repeat_scores(frame, "t").collect()] == [pytest.approx(brute_repeat(r.t)) for r in frame.collect()]
+    assert len(written) <= 3, written
+    texts = ["a" * 500, noise + noise + noise[:77], ("漢😀" * 20 + "x") * 6, noise[:64] + "|" + noise[:64], noise]
+    for row in repeats.repeat_scores(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect():
+        assert row.score == pytest.approx(brute_repeat(row.t)), row.t
+
+
 def test_degenerate_only_for_long_repeats(apply):
     rng = random.Random(1)
     noise = "".join(rng.choice("abcdefghijklmnop ") for _ in range(300))
