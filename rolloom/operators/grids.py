@@ -123,7 +123,8 @@ def judged_replies(replies: DataFrame, gold: DataFrame, reply: str = "reply") ->
     house, attr, val)``. Every puzzle with true cells is judged; a reply without
     JSON, without houses or without one of the houses is wrong.
     """
-    parsed = replies.select("puzzle", _houses(json_answer(F.col(reply))).alias("houses"))
+    # replies are read in as few tasks as their files allow, parsed by all
+    parsed = replies.repartition("puzzle").select("puzzle", _houses(json_answer(F.col(reply))).alias("houses"))
     wanted = gold.select("puzzle", "house").distinct().join(parsed, "puzzle")
     picked = wanted.select("puzzle", "house", F.from_json(_house_named(F.col("houses"), F.col("house")), OBJECT).alias("cells"))
     named = picked.select("puzzle", "house", F.posexplode("cells").alias("ord", "attr", "val"))
