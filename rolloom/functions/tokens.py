@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,17 +12,25 @@ from pyspark.sql import types as T
 
 from rolloom.functions import text as tx
 
+# Characters of the texts whose ids a worker holds at once; a text stays whole.
+HELD = 1 << 18
+
 
 def tokenizer(encode: Callable[[str], list[int]]) -> Callable[[Column], Column]:
     """A Column function from any ``encode(text) -> ids``.
 
     The encoder is shipped to the executors with the function; texts arrive
-    there in Arrow batches.
+    there in Arrow batches. Ids leave a worker in pieces of about ``HELD``
+    characters of text, however much text a batch has.
     """
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encoded(texts: pd.Series) -> pd.Series:
-        return texts.map(encode, na_action="ignore")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            ends = np.cumsum([len(t) if isinstance(t, str) else 1 for t in texts])
+            cuts = np.flatnonzero(np.diff(ends // HELD)) + 1
+            for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
+                yield texts.iloc[first:last].map(encode, na_action="ignore")
 
     return encoded
 
