@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import and_
 
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from rolloom.sources import folders
 
+# Folders that the driver lists at once.
+LISTED = 16
+
 
 def new_files(spark: SparkSession, path: str, schema: str, per_trigger: int | None = None) -> DataFrame:
     """Stream over JSON-lines files that land in a folder."""
@@ -142,6 +146,8 @@ def append_distinct(
     the ids of just the partitions its own rows fall into: a batch of one step
     costs one step, however much the sink holds and however old the step is.
 
+    The rows of a partition are brought together before they are written, so the
+    number of files grows with the partitions of a batch and not with its tasks.
     Inside a partition every batch has a folder of its own, which a replay
     replaces, and is compared with earlier batches only, so a replay writes the
     same rows. Null ids are ids like any other; an empty text in a column of
@@ -156,12 +162,17 @@ def append_distinct(
         fresh = rows.dropDuplicates(ids).persist()
         # one row for each partition that the batch itself writes
         touched = fresh.select(*[F.col(c).cast("string") for c in parts]).distinct().collect()
-        paths = [p for row in touched for p in _earlier(spark, sink, row.asDict(), number)]
+        with ThreadPoolExecutor(LISTED) as pool:
+            found = pool.map(lambda row: _earlier(spark, sink, row.asDict(), number), touched)
+            paths = [p for earlier in found for p in earlier]
         if paths:
             held = spark.read.option("basePath", sink).schema(rows.select(*ids).schema).parquet(*paths)
             kept = _unmatched(fresh, held, ids)
         else:
             kept = fresh
+        # about a file for each partition, or several where there are fewer of them than tasks
+        slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, len(touched)))
+        kept = kept.repartition(*parts, _bucket(ids, slices))
         out = kept.withColumn("batch", F.lit(number)).write.partitionBy(*parts, "batch")
         out.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(sink)
         fresh.unpersist()

@@ -9,6 +9,7 @@ import random
 import re
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from rolloom.sources import folders
@@ -120,6 +121,24 @@ def test_a_batch_reads_its_own_partitions_only(spark, tmp_path):
     assert len(got) == 17 and ("a", 3, 2, "x") in got and ("a", 3, 9, "late") in got
 
 
+@pytest.fixture
+def fixed_tasks(spark):
+    """As many tasks as shuffle partitions, however few rows."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_files_grow_with_partitions_not_with_tasks(spark, tmp_path, fixed_tasks):
+    """However many tasks remove repeats, a partition gets about one file of a batch."""
+    sink = ingest(spark, [("a", s, i, "x") for s in range(12) for i in range(40)], tmp_path, ["run", "step"])
+    assert len(glob.glob(f"{sink}/run=a/step=*/batch=0/*.parquet")) == 12
+    ingest(spark, [("a", 3, i, "late") for i in range(20, 400)], tmp_path, ["run", "step"])
+    # one partition is written by several tasks
+    assert 1 < len(glob.glob(f"{sink}/run=a/step=3/batch=1/*.parquet")) <= 8
+    assert len(kept(spark, sink)) == 12 * 40 + 360
+
+
 def test_folders(spark, tmp_path):
     place = str(tmp_path / "x=1")
     spark.range(3).withColumn("v", F.lit(1)).write.parquet(place)
