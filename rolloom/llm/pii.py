@@ -9,8 +9,8 @@ if it has the shape of one but fails its check; so do digit
 runs beyond a phone's 10 to 15 digits and prose like 'at home. The'. What else
 only a generator proposes has no label; all but base spans are scored. The checks themselves (Luhn, octets, the plus sign)
 are no features, and a spelled-out address is described as it reads with its
-signs. One part of a bounded sample trains the trees, the rest calibrates, per
-kind, the lowest threshold that keeps the wanted precision. Selected proposals that overlap no base span are
+signs. The labelled proposals of two thirds of the rows train the trees, those of the
+rest calibrate, per kind, the lowest threshold that keeps the wanted precision. Selected proposals that overlap no base span are
 added, the likelier one of two that overlap; base spans always stay.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolloom.llm import spans
@@ -31,10 +31,11 @@ from rolloom.llm.common import session, stage
 
 KINDS = ["email", "ip", "card", "phone", "email_like", "ip_like", "card_like", "phone_like"]
 BASE = 4
-SAMPLE = 20_000
 TREES = 10
 DEPTH = 4
 PRECISION = 0.98
+# Scores are compared by so many digits.
+PLACES = 5
 SEED = 11
 
 # The base patterns, written so that no start is tried twice.
@@ -216,11 +217,12 @@ def _settled(batches):
 
 
 def _selected(each: DataFrame) -> DataFrame | None:
-    """``(rid, added)`` by trees trained on a bounded sample; None without two classes."""
-    known = each.where("label >= 0").orderBy(F.xxhash64("rid", "start", "end", F.lit(SEED)), "rid", "start", "end").limit(SAMPLE)
-    known = stage(known.select("rid", "start", "end", "kind", "label", "x"), "sample")
+    """``(rid, added)`` by trees trained on every labelled proposal of two thirds of
+    the rows, with cuts from all those of the last third; None without two classes."""
+    known = each.where("label >= 0")
     held = F.pmod(F.xxhash64("rid", F.lit(SEED + 1)), F.lit(3)) == 0
-    counts = {r["label"] for r in known.where(~held).select("label").distinct().collect()}
+    learnt = known.where(~held)
+    counts = {r["label"] for r in learnt.select("label").distinct().collect()}
     if counts != {0, 1}:
         return None
     assembler = VectorAssembler(inputCols=[f"_{f}" for f in FEATURES], outputCol="features")
@@ -228,26 +230,30 @@ def _selected(each: DataFrame) -> DataFrame | None:
     def vectors(rows: DataFrame) -> DataFrame:
         return assembler.transform(rows.select("*", *[F.get("x", F.lit(i)).alias(f"_{f}") for i, f in enumerate(FEATURES)]))
 
+    # equal leaves add up to scores that differ in their last digits
+    p = F.round(vector_to_array("probability")[1], PLACES).alias("p")
     trees = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="all")
-    model = trees.fit(vectors(known.where(~held)).select("features", "label"))
-    p = vector_to_array("probability")[1].alias("p")
-    checked = model.transform(vectors(known.where(held))).select("kind", "label", p).toPandas()
-    cuts = {}
-    for kind, rows in checked.groupby("kind"):
-        rows = rows.sort_values("p", ascending=False, kind="stable")
-        good = rows.label.cumsum() / range(1, len(rows) + 1)
-        able = rows.p[(good >= PRECISION) & (rows.p >= 0.5)]
-        if len(able):
-            # equal leaves add up to scores that differ in their last digits
-            cuts[int(kind)] = float(able.min()) - 1e-9
+    model = trees.fit(vectors(learnt).select("features", "label"))
     cut = F.lit(2.0)
-    for kind, value in cuts.items():
+    for kind, value in _cuts(model.transform(vectors(known.where(held))).select("kind", "label", p)).items():
         cut = F.when(F.col("kind") == kind, F.lit(value)).otherwise(cut)
     scored = model.transform(vectors(each.where(F.col("label").isin(FAILED, OPEN)))).select("rid", "start", "kind", "end", p).where(F.col("p") >= cut)
     rows = scored.groupBy("rid").agg(F.collect_list(F.struct("start", "kind", "end", "p")).alias("picked"))
     return rows.mapInArrow(_settled, f"rid long, added {spans.SPANS}")
 
 
+def _cuts(checked: DataFrame) -> dict[int, float]:
+    """Per kind the lowest score from which on the wanted precision holds.
+
+    Rows are reduced to counts of equal scores first, so the window spans at most
+    as many of them as scores of ``PLACES`` digits, however many rows there are.
+    """
+    counts = checked.where("p >= 0.5").groupBy("kind", "p").agg(F.count("*").alias("n"), F.sum("label").alias("good"))
+    down = Window.partitionBy("kind").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = counts.select("kind", "p", (F.sum("good").over(down) / F.sum("n").over(down)).alias("precision")).where(F.col("precision") >= PRECISION)
+    return {int(r["kind"]): r["cut"] for r in reached.groupBy("kind").agg(F.min("p").alias("cut")).collect()}
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``.
 

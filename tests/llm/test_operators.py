@@ -257,6 +257,31 @@ def test_pii_adds_what_only_generators_propose(spark):
     assert not any("at home" in t for found in got.values() for t in found)
 
 
+def test_pii_thresholds_count_every_row(spark):
+    """Against a plain pass over all rows, more than the 20,000 once sampled."""
+    r = random.Random(5)
+    rows = [(r.choice([4, 7]), round(r.random(), 2)) for _ in range(30_000)] + [(5, 0.9), (6, 0.4)]
+    rows = [(k, int(r.random() < 0.9 + p / 9.5), p) for k, p in rows]
+    want = {}
+    for kind in {k for k, _, _ in rows}:
+        scores = sorted({p for k, _, p in rows if k == kind and p >= 0.5})
+        for cut in scores:
+            marks = [label for k, label, p in rows if k == kind and p >= cut]
+            if sum(marks) / len(marks) >= pii.PRECISION:
+                want[kind] = cut
+                break
+    assert pii._cuts(spark.createDataFrame(rows, "kind int, label int, p double")) == want and want
+
+
+def test_pii_learns_from_every_labelled_proposal(spark, monkeypatch):
+    seen, plain = [], pii.GBTClassifier.fit
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, rows: seen.append(rows.count()) or plain(self, rows))
+    rows = [(i, " ; ".join(f"a{i}x{j}@b.org or {j % 9}.{i % 300}.400.{j}" for j in range(40))) for i in range(400)]
+    pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).count()
+    # 80 labelled proposals a row, about two thirds of the rows
+    assert seen[0] % 80 == 0 and seen[0] > 13_334
+
+
 def test_toxicity(spark, docs, none, labels, data):
     rows = toxicity.toxicity(docs, labels).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
