@@ -54,6 +54,9 @@ FIRST = 3
 DEPTH = 8
 LEAF = 256
 BLOCK = 512
+# Leaves' worth of rows in large nodes that are compared in blocks at once
+# instead of being split further: more levels would cost more than they save.
+REST = 32
 # Texts up to which a shared value is counted pair by pair; columns of a matrix
 # and pairs that are counted at once.
 FEW = 48
@@ -286,22 +289,22 @@ def proposals(texts: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int =
     one label is connected already and is not split further; nor is a node with
     one member, nor one in which at most ``leaf`` members are apart from the
     centre: these are compared with all others, a part of them in each leaf.
+    The leaves of all levels are compared in one job.
     """
     run = F.explode(F.array(*[F.lit(r) for r in range(runs)])).alias("run")
     rows = texts.select(run, "k", F.col("k").alias("label"), "drawn").withColumn("node", F.col("run").cast("long"))
     for _ in range(FIRST):
         rows = _children(rows)
     nodes = stage(rows.drop("drawn"), "paths")
-    closing = nodes.select("node", "k").limit(0)
-    found = []
+    leaves, found = [], []
     for _ in range(depth):
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         sized = stage(nodes.join(sizes.where("lo < hi").select("node", "n"), "node"), "nodes")
-        leaves = sized.where(F.col("n") <= leaf).select("node", "k").unionAll(closing)
-        found.append(stage(_leaf_links(leaves, texts), "leaf_links"))
+        leaves.append(sized.where(F.col("n") <= leaf).select("node", "k"))
         large = sized.where(F.col("n") > leaf).drop("n")
-        if large.isEmpty():
-            return _union(found)
+        if large.count() <= REST * leaf:
+            left = large
+            break
         # A member that is missed by one centre meets another one at the next level.
         drawn = F.min(F.struct(F.xxhash64("node", "k"), F.col("k").alias("centre"), F.col("label").alias("middle"))).alias("c")
         centre = large.groupBy("node").agg(drawn).select("node", "c.centre", "c.middle")
@@ -315,14 +318,16 @@ def proposals(texts: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int =
         labels = labels.drop("n").join(counts.where("apart > 0"), "node")
         rest = near.select("node", "run", "k", "label").join(labels, ["node", "label"])
         rest = stage(rest.withColumn("label", F.when(F.col("met"), F.col("middle")).otherwise(F.col("label"))), "mixed")
-        closing = _closed(rest.where(F.col("apart") <= leaf), leaf)
+        leaves.append(_closed(rest.where(F.col("apart") <= leaf), leaf))
         rest = rest.where(F.col("apart") > leaf).select("node", "run", "k", "label").join(texts.select("k", "drawn"), "k")
         nodes = stage(_children(rest).drop("drawn"), "paths")
-    # What is still large after the last level is compared in blocks.
-    sizes = nodes.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node")
-    left = nodes.join(sizes, "node", "left_semi").select(F.col("node").alias("comp"), F.col("k").alias("id"))
-    blocks = tasks(left, leaf).select(F.xxhash64("comp", "lo", "hi").alias("node"), F.col("id").alias("k"))
-    found.append(_leaf_links(blocks.unionAll(closing), texts))
+    else:
+        sizes = nodes.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node")
+        left = nodes.join(sizes, "node", "left_semi")
+    # What is still large after the last level, or is little, is compared in blocks.
+    left = left.select(F.col("node").alias("comp"), F.col("k").alias("id"))
+    leaves.append(tasks(left, leaf).select(F.xxhash64("comp", "lo", "hi").alias("node"), F.col("id").alias("k")))
+    found.append(stage(_leaf_links(_union(leaves), texts), "leaf_links"))
     return _union(found)
 
 

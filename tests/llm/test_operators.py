@@ -127,6 +127,18 @@ def test_pairs_in_crowded_nodes(spark):
     assert found >= 149 and all(got[2 * i] == 2 * i for i in range(150))
 
 
+def test_leaves_are_compared_in_one_job(spark, monkeypatch):
+    """All levels hand their leaves to one comparison, and a small rest is not split further."""
+    texts = [(i, " ".join(prose(200, 20).split()[:199] + [f"edit{i}"])) for i in range(40)] + [(40 + i, prose(60, 400 + i)) for i in range(40)]
+    frame, calls, links = spark.createDataFrame(texts, "doc_id bigint, text string"), [], jaccard._leaf_links
+    monkeypatch.setattr(jaccard, "_leaf_links", lambda *a: calls.append(0) or links(*a))
+    for rest in (0, 1, 32):
+        calls.clear()
+        monkeypatch.setattr(jaccard, "REST", rest)
+        got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(frame, leaf=4, depth=3).collect()}
+        assert len(calls) == 1 and got == {i: (0, 39) if i < 40 else (i, 0) for i in range(80)}
+
+
 def test_contamination(spark, docs, none):
     items = spark.createDataFrame(
         [(1, " ".join(odd_texts()[0][1].split()[30:50])), (2, prose(20, 77)), (3, None), (None, "a b c d e f"), (4, "one two"), (5, "")],
