@@ -167,9 +167,12 @@ def _proposals(batches):
     """Edges that connect what is LIKELY inside each leaf."""
     for batch in batches:
         us, vs = [], []
-        for members in batch.column(0).to_pylist():
-            keys = [m["k"] for m in members]
-            sig = np.array([m["sig"] for m in members], np.int32)
+        members = batch.column(0)
+        offsets = np.r_[0, np.cumsum(members.value_lengths().to_numpy())]
+        flat = members.flatten()
+        all_keys, all_sigs = flat.field(0).to_numpy(), flat.field(1).flatten().to_numpy().reshape(-1, COORDINATES)
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            keys, sig = all_keys[a:b].tolist(), all_sigs[a:b]
             forest = Forest(len(keys))
             for i in range(len(keys) - 1):
                 near = (sig[i + 1 :] == sig[i]).mean(axis=1) >= LIKELY

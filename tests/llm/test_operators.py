@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -139,6 +140,22 @@ def test_leaves_are_compared_in_one_job(spark, monkeypatch):
         assert len(calls) == 1 and got == {i: (0, 39) if i < 40 else (i, 0) for i in range(80)}
 
 
+def test_proposals_take_signatures_as_they_are():
+    """Signatures of a batch of leaves stay one array: as Python numbers they took 40 bytes each."""
+    r, pa = np.random.default_rng(5), __import__("pyarrow")
+    sig = r.integers(0, 1 << 30, (64, 40, jaccard.COORDINATES))
+    sig[:, 1::2, :50] = sig[:, ::2, :50]
+    kind = pa.list_(pa.struct([("k", pa.int64()), ("sig", pa.list_(pa.int32()))]))
+    rows = [[{"k": 100 * i + j, "sig": s} for j, s in enumerate(leaf)] for i, leaf in enumerate(sig.tolist())]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, kind)], ["members"]).slice(3)
+    tracemalloc.start()
+    (out,) = jaccard._proposals([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(*out.to_pydict().values())) == [(100 * i + j, 100 * i + j + 1) for i in range(3, 64) for j in range(0, 40, 2)]
+    assert peak < 2 * batch.nbytes
+
+
 def test_contamination(spark, docs, none):
     items = spark.createDataFrame(
         [(1, " ".join(odd_texts()[0][1].split()[30:50])), (2, prose(20, 77)), (3, None), (None, "a b c d e f"), (4, "one two"), (5, "")],
