@@ -441,6 +441,35 @@ def test_recall_by_kind_of_edit(spark, kind, least):
     assert len(near) > 100 and found >= least * len(near)
 
 
+def test_links_that_no_post_brings_together(spark):
+    """A letter changed in every word, and lines without words in common, by plain edit similarity."""
+    rows = []
+    for i in range(60):
+        w = [prose(1, 9000 + 40 * i + j) + prose(1, 9500 + 40 * i + j) for j in range(10)]
+        rows += [" ".join(w), " ".join(x[:-1] + "z" for x in w), " ".join(x[:2] + "q" + x[3:-1] + "z" for x in w)]
+    rows += [prose(12, 8000 + i) for i in range(60)]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if lines.edit_distance(rows[i], rows[j]) <= 0.2 * max(len(rows[i]), len(rows[j])) + 1e-9:
+            group = [group[i] if g == group[j] else g for g in group]
+    want = {i for i in range(len(rows)) if group.index(group[i]) == i}
+    left = lambda **limits: {d.doc_id for d in lines.deduplicated(frame, **limits).collect() if d.text}
+    assert len(want) < 180 and left() == want
+
+
+def test_every_link_in_blocks(spark):
+    """Blocks of any size connect the same lines, and the count of pairs leaves none out."""
+    rows = [(i, prose(6 + i % 3, 600 + i // 4) + " ab"[: i % 4]) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "xxhash64(text) AS t", "text")
+    found = docs.mapInArrow(lines._scan, "doc_id long, t long, line int, k long, sim long, size int, bands array<int>")
+    kinds = found.selectExpr("k", "sim", "size", "bands", "struct(doc_id, t, line) AS first").dropDuplicates(["k"])
+    got = [sorted(map(tuple, lines.components(lines.every_link(docs, kinds, block), "t").collect())) for block in (1, 7, 500)]
+    assert got[0] == got[1] == got[2] and got[0]
+    sizes = [r.size for r in kinds.collect()]
+    assert lines.pairs_by_length(kinds) >= sum(min(a, b) >= 0.8 * max(a, b) for a, b in itertools.combinations(sizes, 2))
+
+
 def test_short_lines_lose_exact_copies(spark):
     rows = [(1, "All rights reserved\none\n\nAll rights kept"), (2, "all RIGHTS reserved.\nnew\n\none"), (3, "one two three four\none two three fours")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
