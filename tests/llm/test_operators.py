@@ -7,13 +7,14 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 
-from rolloom.llm import contamination, jaccard, lines, mixing, neighbours, pii, quality, secrets, suffixes, toxicity
+from rolloom.llm import common, contamination, jaccard, lines, mixing, neighbours, pii, quality, secrets, suffixes, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, rid string, k int, sig string, t int, v int"
 random.seed(3)
@@ -510,6 +511,57 @@ def test_edit_distance():
         assert lines.edit_distance(a, b) == row[-1]
 
 
+def test_edit_distances_side_by_side(monkeypatch):
+    """Lanes of one to many words, pairs one by one and empty rests give the plain distances."""
+    r, pairs = random.Random(5), []
+    for _ in range(1500):
+        a = "".join(r.choice("abcde é漢") for _ in range(r.choice([0, 1, 5, 63, 64, 65, 128, 129, 200])))
+        b = list(a)
+        for _ in range(r.randint(0, len(a) // 4 + 1)):
+            at = r.randint(0, len(b))
+            b[at : at + r.randint(0, 1)] = r.choice(["", "x", "é", "ab"])
+        pairs.append((a, "".join(b)))
+    codes = [[np.frombuffer(p[k].encode("utf-32-le"), np.uint32) for p in pairs] for k in (0, 1)]
+    plain = np.array([lines.edit_distance(a, b) for a, b in pairs])
+    for limits in (np.full(len(pairs), 10**6), np.array([int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in pairs])):
+        for lanes in (1024, 50, 8):
+            monkeypatch.setattr(lines, "LANES", lanes)
+            got = lines.edit_distances(*codes, limits)
+            assert ((got <= limits) == (plain <= limits)).all() and (got == plain)[plain <= limits].all()
+
+
+def test_lines_leave_no_tables_and_shuffle_files(spark, monkeypatch, tmp_path):
+    """What the stages wrote goes as soon as it is not read any more."""
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    monkeypatch.setattr(common, "work_dir", lambda spark, label: f"{tmp_path}/{label}-{next(count)}")
+    count = itertools.count()
+    rows = [(i, prose(12, i // 2) + "\n" + prose(9, 50 + i)) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    before = files()
+    lines.report(frame).write.format("noop").mode("overwrite").save()
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert "gone" in left and not left & {"lines", "kinds", "wanted", "pairs", "line_texts", "repeated"}
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+
+
+def test_scans_take_little_memory_at_once(monkeypatch):
+    """Lines and signatures of 2 MB of texts, cut into pieces by the byte."""
+    texts = [prose(400, i) + "\n" + prose(400, 1000 + i) for i in range(400)]
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"doc_id": list(range(400)), "t": [0] * 400, "text": texts})
+    for scan in (lines._scan, lambda batches: jaccard._signatures(batches, 1)):
+        monkeypatch.setattr(common, "POWERS", common.Powers(common.POWERS.base))
+        tracemalloc.start()
+        assert sum(out.num_rows for out in scan([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        print(peak)
+        assert peak < 40 << 20
+
+
 def test_mixture(spark, docs, none):
     rows = mixing.mixed(docs).collect()
     tokens = {i: len((t or "").split()) for i, t in odd_texts() if i is not None}
