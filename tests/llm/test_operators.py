@@ -530,6 +530,37 @@ def test_edit_distances_side_by_side(monkeypatch):
             assert ((got <= limits) == (plain <= limits)).all() and (got == plain)[plain <= limits].all()
 
 
+def test_few_pairs_need_whole_distances(monkeypatch):
+    """Near copies and unlike lines are decided by a few diagonals and by stretches, all as plainly."""
+    r, pairs = random.Random(8), []
+    for i in range(900):
+        a = "".join(r.choice("abcde é漢") for _ in range(r.choice([1, 5, 64, 65, 200, 333, 500, 900])))
+        b = list(a)
+        for _ in range(r.randint(0, len(a) // r.choice([3, 5, 20]) + 1)):
+            at = r.randint(0, len(b))
+            b[at : at + r.randint(0, 1)] = r.choice(["", "x", "é", "ab"])
+        if i % 3 == 0:
+            b = [r.choice("abcde é漢") for _ in range(int(len(a) * r.uniform(0.8, 1.2)) + 1)]
+        if i % 9 == 1:
+            b = b[len(b) // 9 :] + b[: len(b) // 30]
+        pairs.append((a, "".join(b) or "y"))
+    codes = [[np.frombuffer(p[k].encode("utf-32-le"), np.uint32) for p in pairs] for k in (0, 1)]
+    limits = np.array([int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in pairs])
+    plain = np.array([lines.edit_distance(a, b) for a, b in pairs]) <= limits
+    whole, distances = [], lines.edit_distances
+    monkeypatch.setattr(lines, "edit_distances", lambda *given: whole.append(len(given[0])) or distances(*given))
+    for wide, few in ((4096, 4), (70, 0)):
+        monkeypatch.setattr(lines, "WIDE", wide)
+        monkeypatch.setattr(lines, "FEW", few)
+        assert (lines.within(*codes, limits) == plain).all()
+    assert 200 < plain.sum() < 700 and max(whole) < 200, (plain.sum(), whole)
+    text = ["".join(map(chr, x)) for x in codes[0]], ["".join(map(chr, x)) for x in codes[1]]
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"u": list(range(900)), "v": list(range(900)), "one": text[0], "two": text[1]})
+    whole.clear()
+    assert sorted(u for out in lines._verify([batch]) for u in out.column("u").to_pylist()) == np.flatnonzero(plain).tolist()
+    assert sum(whole) < 200
+
+
 def test_lines_leave_no_tables_and_shuffle_files(spark, monkeypatch, tmp_path):
     """What the stages wrote goes as soon as it is not read any more."""
     files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
